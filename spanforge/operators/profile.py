@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from spanforge.session import cut
+
 # Ways of writing "no value", compared in lower case without outer white space.
 STAND_INS = ["", "n/a", "na", "none", "null", "nil", "nan", "-", "--", "?", "undefined", "unknown", "missing", "(null)", "<null>"]
 # Numbers that stand for "no value".
@@ -46,11 +48,15 @@ def read_specs(specs: DataFrame, table: DataFrame) -> list[dict]:
     return sorted((r.asDict() for r in rows if r.column_name in have), key=lambda r: r["column_name"])
 
 
+_BLANKS = " \t\r\n\u00a0\u2007\u202f\u3000\u200b\ufeff"
+
+
 def missing(c: Column, number: bool) -> Column:
     """Whether a value is missing; never null."""
     if number:
         return F.coalesce(c.isin(NUMBER_STAND_INS) | F.isnan(c.cast("double")), F.lit(True))
-    return F.coalesce(F.lower(F.regexp_replace(c, r"^[\s\p{Z}\p{Cc}\p{Cf}]+|[\s\p{Z}\p{Cc}\p{Cf}]+$", "")).isin(STAND_INS), F.lit(True))
+    bare = F.btrim(c, F.lit(_BLANKS))
+    return F.coalesce((F.length(bare) <= max(map(len, STAND_INS))) & F.lower(bare).isin(STAND_INS), F.lit(True))
 
 
 def mask(c: Column) -> Column:
@@ -68,33 +74,39 @@ def mask(c: Column) -> Column:
 
 
 def number_mask(c: Column) -> Column:
-    """Sign and number of digits before the point."""
-    return F.concat(F.when(c < 0, "-").otherwise(""), F.repeat(F.lit("9"), F.length(F.abs(c).cast("string"))))
+    """Sign and number of digits."""
+    return F.concat(F.when(c < 0, "-9x").otherwise("9x"), F.length(F.abs(c).cast("string")).cast("string"))
+
+
+#: mask of values that fit their column's pattern, where masks of these are not wanted one by one
+FITTING = "(fits)"
 
 
-def mask_counts(table: DataFrame, specs: list[dict]) -> DataFrame:
+def mask_counts(table: DataFrame, specs: list[dict], each: bool = False) -> DataFrame:
     """Counts per (feed, load_id, column_name, mask, value_key).
 
     ``value_key`` is the value in the mix columns and null elsewhere; ``mask`` is
     null for missing values.  Columns n and n_bad (values off the pattern).
+    Values that fit their column's pattern share the mask ``FITTING``, so only
+    the others are generalised; ``each`` asks for every value's own mask.
     """
-    cells = []
-    for s in specs:
+    none = F.lit(None).cast("string")
+    parts = []
+    for s in specs:  # each column is read, generalised and pre-aggregated by itself, in generated code
         c, number = F.col(s["column_name"]), s["value_type"] == "number"
-        gone = missing(c, number)
-        fits = F.lit(True) if s["value_pattern"] is None else F.coalesce(c.cast("string").rlike(f"^(?:{s['value_pattern']})$(?!\\n)"), F.lit(False))
-        cells.append(
-            F.struct(
-                F.lit(s["column_name"]).alias("column_name"),
-                F.when(~gone, number_mask(c) if number else mask(c)).alias("mask"),
-                (F.when(~gone, c.cast("string")) if s["column_name"] in MIX_COLUMNS else F.lit(None).cast("string")).alias("value_key"),
-                (~gone & ~fits).cast("int").alias("bad"),
-            )
-        )
-    if not cells:
-        cells = [F.struct(F.lit(None).cast("string").alias("column_name"), F.lit(None).cast("string").alias("mask"), F.lit(None).cast("string").alias("value_key"), F.lit(0).alias("bad"))]
-        table = table.limit(0)
-    return table.select("feed", "load_id", F.inline(F.array(*cells))).groupBy("feed", "load_id", "column_name", "mask", "value_key").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"))
+        there, shown, bad = ~missing(c, number), number_mask(c) if number else mask(c), F.lit(0)
+        if s["value_pattern"] is not None:
+            fits = F.coalesce(c.cast("string").rlike(f"\\A(?:{s['value_pattern']})\\z"), F.lit(False))
+            shown = shown if each else F.when(fits, F.lit(FITTING)).otherwise(shown)
+            bad = (there & ~fits).cast("int")
+        key = F.when(there, c.cast("string")) if s["column_name"] in MIX_COLUMNS else none
+        parts.append(table.select("feed", "load_id", F.lit(s["column_name"]).alias("column_name"), F.when(there, shown).alias("mask"), key.alias("value_key"), bad.alias("bad")))
+    if not parts:
+        parts = [table.limit(0).select("feed", "load_id", none.alias("column_name"), none.alias("mask"), none.alias("value_key"), F.lit(0).alias("bad"))]
+    flat = parts[0]
+    for part in parts[1:]:
+        flat = flat.unionByName(part)
+    return flat.groupBy("feed", "load_id", "column_name", "mask", "value_key").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"))
 
 
 def load_numbers(table: DataFrame, specs: list[dict]) -> DataFrame:
@@ -183,7 +195,7 @@ def issues(table: DataFrame, specs: DataFrame, checks: DataFrame) -> DataFrame:
     """Every issue of every load: (load_id, column_name, issue), one row each."""
     spec = read_specs(specs, table)
     table = table.withColumn("feed", F.coalesce("feed", F.lit(""))) if "feed" in table.columns else table.withColumn("feed", F.lit(""))
-    masks = mask_counts(table, spec)
+    masks = cut(mask_counts(table, spec))
     per_load = profile(table, spec, masks)
     per_load = per_load.join(medians(table, spec), ["feed", "load_id", "column_name"], "left").join(divergence(masks.where(F.col("column_name").isin(MIX_COLUMNS)), "value_key"), ["feed", "load_id", "column_name"], "left")
     per_load = per_load.join(latest_reports(checks, spec), ["load_id", "column_name"], "left")
@@ -211,7 +223,7 @@ def mask_report(table: DataFrame, specs: DataFrame, rare: float = 0.05) -> DataF
     """
     spec = read_specs(specs, table)
     table = table.withColumn("feed", F.coalesce("feed", F.lit("")))
-    m = mask_counts(table, spec).where(F.col("mask").isNotNull()).groupBy("feed", "load_id", "column_name", "mask").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    m = mask_counts(table, spec, each=True).where(F.col("mask").isNotNull()).groupBy("feed", "load_id", "column_name", "mask").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
     w = W.Window.partitionBy("feed", "load_id", "column_name")
     m = m.withColumn("share", F.col("n") / F.sum("n").over(w))
     wf = W.Window.partitionBy("feed", "column_name")
@@ -225,7 +237,7 @@ def load_profile(table: DataFrame, specs: DataFrame) -> DataFrame:
     """The profile itself: one row per feed, load and column."""
     spec = read_specs(specs, table)
     table = table.withColumn("feed", F.coalesce("feed", F.lit("")))
-    masks = mask_counts(table, spec)
+    masks = cut(mask_counts(table, spec, each=True))
     out = profile(table, spec, masks).join(load_numbers(table, spec), ["feed", "load_id", "column_name"], "left")
     out = out.join(divergence(masks, "mask").withColumnRenamed("distance", "mask_divergence"), ["feed", "load_id", "column_name"], "left")
     return out.withColumn("missing_share", F.col("n_missing") / F.col("n_rows"))
