@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from spanforge.session import cut
+
 #: share of a file's records that must carry a field
 MIN_SHARE = 0.1
 
@@ -114,7 +116,7 @@ def fingerprints(raw: DataFrame) -> DataFrame:
 
     ``kind`` is null for a field that was never anything but null.
     """
-    counts = field_counts(distinct_lines(raw))
+    counts = cut(field_counts(distinct_lines(raw)))
     per_path = counts.groupBy("producer", "file_seq", "file_name", "path").agg(
         F.sum("n").alias("n"),
         F.max(F.when(F.col("kind") != "null", F.col("n"))).alias("most"),
@@ -171,7 +173,7 @@ def migration_steps(raw: DataFrame) -> DataFrame:
 
     Columns producer, file_no, file_name, old_path, new_path, change_kind, kind.
     """
-    fp = fingerprints(raw)
+    fp = cut(fingerprints(raw))
     along = W.Window.partitionBy("producer", "path").orderBy("file_no")
     w = fp.select("*", F.lag("file_no").over(along).alias("last_no"), F.lag("kind").over(along).alias("last_kind"), F.lead("file_no").over(along).alias("next_no"))
     names = fp.select("producer", "file_no", "file_name").distinct()
