@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import history, leakage, mixing
-from spanforge.sources.tables import CONTENT_SCHEMA, table
+from spanforge.llm import history, leakage, mixing, secrets
+from spanforge.sources.tables import CONTENT_SCHEMA, TEXT_SCHEMA, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.found(table(spark, d, "traces", TEXT_SCHEMA))
+
+
+def p3_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.redacted(table(spark, d, "traces", TEXT_SCHEMA))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return history.repeats(table(spark, d, "traces", CONTENT_SCHEMA))
 
@@ -39,5 +47,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mixture(sized, planned), planned)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_batches, p7_found, p7_items, p8_mixture, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_batches, p7_found, p7_items, p8_mixture, p8_shares)}
 ORACLE: dict[str, str] = {}
