@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanforge.llm import history, leakage, mixing, secrets
+from spanforge.llm import history, leakage, mixing, personal, secrets
 from spanforge.sources.tables import CONTENT_SCHEMA, TEXT_SCHEMA, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def p5_batches(spark: SparkSession, d: str) -> DataFrame:
     return history.batch_split(table(spark, d, "traces", CONTENT_SCHEMA))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.found(table(spark, d, "traces", TEXT_SCHEMA))
+
+
+def p6_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redacted(table(spark, d, "traces", TEXT_SCHEMA))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -47,5 +55,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.mixture(sized, planned), planned)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_batches, p7_found, p7_items, p8_mixture, p8_shares)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_redacted, p5_found, p5_batches, p6_found, p6_redacted, p7_found, p7_items, p8_mixture, p8_shares)}
 ORACLE: dict[str, str] = {}
