@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanforge.plans import general
+from spanforge.plans import general, records
 
-FLAGSHIP = "p2_found"
-QUERIES = {**general.QUERIES}
-ORACLE = {**general.ORACLE}
+FLAGSHIP = "quality_scores"
+QUERIES = {**general.QUERIES, **records.QUERIES}
+ORACLE = {**general.ORACLE, **records.ORACLE}
