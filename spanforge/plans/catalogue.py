@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanforge.plans import general, records
+from spanforge.plans import general, records, stats
 
 FLAGSHIP = "quality_scores"
-QUERIES = {**general.QUERIES, **records.QUERIES}
-ORACLE = {**general.ORACLE, **records.ORACLE}
+QUERIES = {**general.QUERIES, **records.QUERIES, **stats.QUERIES}
+ORACLE = {**general.ORACLE, **records.ORACLE, **stats.ORACLE}
