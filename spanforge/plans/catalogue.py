@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanforge.plans import general, records, signals, stats
+from spanforge.plans import general, ingest, records, signals, stats
 
 FLAGSHIP = "quality_scores"
-QUERIES = {**general.QUERIES, **records.QUERIES, **stats.QUERIES, **signals.QUERIES}
-ORACLE = {**general.ORACLE, **records.ORACLE, **stats.ORACLE, **signals.ORACLE}
+QUERIES = {**general.QUERIES, **records.QUERIES, **stats.QUERIES, **signals.QUERIES, **ingest.QUERIES}
+ORACLE = {**general.ORACLE, **records.ORACLE, **stats.ORACLE, **signals.ORACLE, **ingest.ORACLE}
