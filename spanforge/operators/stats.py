@@ -132,13 +132,27 @@ def freshness(snaps: DataFrame, limit_minutes: int = 240) -> DataFrame:
     return per.withColumn("behind_minutes", F.floor(lag)).withColumn("fresh", F.col("behind_minutes") <= limit_minutes)
 
 
+#: width of the cells that a user's events are cut into, so that a busy user is spread over tasks
+CELL_US = 3_600_000_000
+
+
+def _cells(events: DataFrame) -> DataFrame:
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    return events.select("event_id", "user_id", "event_type", "value", us.alias("us"), F.floor(us / CELL_US).alias("cell"))
+
+
 def timeline(events: DataFrame) -> DataFrame:
-    """Per event its offset from the first of the session and the sum of values before it."""
-    w = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    start = F.min("ts").over(W.Window.partitionBy("user_id"))
-    offset = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(start.cast("timestamp"))) / 1_000_000
-    before = F.coalesce(F.sum("value").over(w.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0.0))
-    return events.select("event_id", F.bround(offset, 3).alias("offset_s"), F.bround(before, 2).alias("value_before"))
+    """Per event its offset from the first of the session and the sum of values before it.
+
+    Sums run over cells of time first (one row per user and cell), then inside a cell.
+    """
+    e = _cells(events)
+    per = e.groupBy("user_id", "cell").agg(F.sum("value").alias("s"), F.min("us").alias("lo"))
+    along = W.Window.partitionBy("user_id").orderBy("cell")
+    per = per.select("user_id", "cell", F.coalesce(F.sum("s").over(along.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0.0)).alias("s0"), F.min("lo").over(W.Window.partitionBy("user_id")).alias("start"))
+    inside = W.Window.partitionBy("user_id", "cell").orderBy("us", "event_id").rowsBetween(W.Window.unboundedPreceding, -1)
+    j = e.join(per, ["user_id", "cell"]).withColumn("inner", F.coalesce(F.sum("value").over(inside), F.lit(0.0)))
+    return j.select("event_id", F.bround((F.col("us") - F.col("start")) / 1_000_000, 3).alias("offset_s"), F.bround(F.col("s0") + F.col("inner"), 2).alias("value_before"))
 
 
 def recent_k(events: DataFrame, k: int = 5) -> DataFrame:
@@ -152,10 +166,13 @@ def first_last(events: DataFrame) -> DataFrame:
 
 
 def alternation(events: DataFrame) -> DataFrame:
-    """Per user the share of neighbouring events of different type (1 for fewer than two)."""
-    w = W.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = events.select("user_id", (F.lag("event_type").over(w) == F.col("event_type")).cast("int").alias("same"))
-    return e.groupBy("user_id").agg(F.coalesce(F.bround(1 - F.sum("same") / F.count("same"), 4), F.lit(1.0)).alias("ratio"))
+    """Per user the share of neighbouring events of different type (1 for fewer than two); neighbours across cells meet by the cells' ends."""
+    e = _cells(events)
+    inside = W.Window.partitionBy("user_id", "cell").orderBy("us", "event_id")
+    same = e.select("user_id", (F.lag("event_type").over(inside) == F.col("event_type")).cast("int").alias("same"))
+    ends = e.groupBy("user_id", "cell").agg(F.min_by("event_type", F.struct("us", "event_id")).alias("first"), F.max_by("event_type", F.struct("us", "event_id")).alias("last"))
+    joints = ends.select("user_id", (F.lag("last").over(W.Window.partitionBy("user_id").orderBy("cell")) == F.col("first")).cast("int").alias("same"))
+    return same.unionByName(joints).groupBy("user_id").agg(F.coalesce(F.bround(1 - F.sum("same") / F.count("same"), 4), F.lit(1.0)).alias("ratio"))
 
 
 def interval_commits(sessions: DataFrame, commits: DataFrame, width_us: int = 6 * 3_600_000_000) -> DataFrame:
