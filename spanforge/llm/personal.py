@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from spanforge.session import cut
 
@@ -317,8 +316,9 @@ def train(cands: DataFrame) -> dict[str, list[float]]:
     counts: dict[str, dict[str, int]] = {k: {} for k in KINDS}
     for r in cands.groupBy("pii_kind", "votes").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 3^7 patterns a kind
         counts[r.pii_kind][r.votes] = r.n
-    by_hash = W.Window.partitionBy("pii_kind").orderBy(F.xxhash64("row_id", "field", "path", "begin"), "row_id", "begin")
-    sample = cands.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= TRAIN_SPANS).select("pii_kind", "votes", "shape").collect()
+    # the spans of a kind with the lowest hashes: each task keeps its own lowest, so no kind is gathered
+    order = [F.xxhash64("row_id", "field", "path", "begin"), F.col("row_id"), F.col("path"), F.col("begin")]
+    sample = [r for k in KINDS if counts[k] for r in cands.where(F.col("pii_kind") == k).orderBy(*order).limit(TRAIN_SPANS).select("pii_kind", "votes", "shape").collect()]
     model = {}
     for kind in KINDS:
         if not counts[kind]:
