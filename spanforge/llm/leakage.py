@@ -168,18 +168,18 @@ def _match(index: ItemIndex, flat: np.ndarray, doc_of: np.ndarray) -> set[tuple[
         dp, ip, run, own, need = dp[rest], ip[rest], run[rest], own[rest], need[rest]
         if not len(dp):
             continue
-        # a passage that is not one run goes on behind an error or two on one of its sides
-        near = need < WINDOW
-        flat3, item3 = gram_hashes(flat, 3), gram_hashes(item, 3)
+        # a run of 15 words or more is verified; a passage of a shorter longest run has two words in a row
+        # in common on one of its sides, behind at most two errors and a word between them
+        near = (need < WINDOW) | (run >= WINDOW - 5)
+        flat2, item2 = gram_hashes(flat, 2), gram_hashes(item, 2)
         de, ie = dp + run, ip + run
-        for a in range(3):
-            for b in range(3):
+        for a in range(4):
+            for b in range(max(0, a - 2), min(4, a + 3)):
                 if a or b:
-                    i, j = np.minimum(de + a, len(flat3) - 1), np.minimum(ie + b, len(item3) - 1)
-                    near |= flat3[i] == item3[j]
-                    i, j = dp - a - 3, ip - b - 3
-                    good = (i >= 0) & (j >= 0)
-                    near |= good & (flat3[np.maximum(i, 0)] == item3[np.maximum(j, 0)])
+                    i, j = np.minimum(de + a, len(flat2) - 1), np.minimum(ie + b, len(item2) - 1)
+                    near |= flat2[i] == item2[j]
+                    i, j = dp - a - 2, ip - b - 2
+                    near |= (i >= 0) & (j >= 0) & (flat2[np.maximum(i, 0)] == item2[np.maximum(j, 0)])
         for x, y, r, o, n in zip(dp[near].tolist(), ip[near].tolist(), run[near].tolist(), own[near].tolist(), need[near].tolist(), strict=True):
             doc = int(doc_of[x])
             if (doc, o) in found:
