@@ -137,7 +137,8 @@ def latest_reports(checks: DataFrame, specs: list[dict]) -> DataFrame:
     names = T.StructType([T.StructField("path", T.StringType()), T.StructField("column_name", T.StringType())])
     dim = checks.sparkSession.createDataFrame([(s["path"], s["column_name"]) for s in specs], names)
     last = F.max_by(F.struct("population_rate"), F.struct(F.coalesce(F.col("reported_at"), F.lit("1900-01-01").cast("timestamp_ntz").cast(checks.schema["reported_at"].dataType)).alias("t"), F.col("check_id")))
-    return checks.join(F.broadcast(dim), "path").groupBy("load_id", "column_name").agg(last.alias("r")).select("load_id", "column_name", F.col("r.population_rate").alias("reported_rate"))
+    own = checks.select("check_id", "load_id", "path", "population_rate", "reported_at")
+    return own.join(F.broadcast(dim), "path").groupBy("load_id", "column_name").agg(last.alias("r")).select("load_id", "column_name", F.col("r.population_rate").alias("reported_rate"))
 
 
 def profile(table: DataFrame, specs: list[dict], masks: DataFrame | None = None, rare: float = 0.05) -> DataFrame:

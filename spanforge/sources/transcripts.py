@@ -35,7 +35,7 @@ BLOCKS = "array<struct<type:string, text:string, thinking:string, signature:stri
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, raw) of every line that is not blank."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("file"), "value")
     lines = files.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "raw"))
     return lines.where(F.trim("raw") != "")
 
