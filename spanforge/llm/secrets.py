@@ -161,9 +161,10 @@ def literals(text: str) -> list[tuple[str, str]]:
         else:
             out += hits
     for m in _PEM.finditer(text):
-        lines = _PEM_LINE.findall(m[1])
-        if lines:
-            out += [(x, "f") for x in lines]
+        body = m[1].split("\n")
+        mark = body[-1] if body[-1] in ("+", "-", " ") else ""  # of a diff, before the last line
+        lines = [x for row in body for x in _PEM_LINE.findall(row[len(mark) :] if mark and row.startswith(mark) else row)]
+        out += [(x, "f") for x in lines]
     return list(dict.fromkeys(out))
 
 
