@@ -62,9 +62,9 @@ def commits(d: Dialect) -> dict[str, str]:
     return {"is_commit": f"{command} LIKE '%git commit%'", "sha": f"nullif({d.extract('coalesce(content, ' + chr(39) * 2 + ')', pattern, 1)}, '')", "subject": f"nullif({d.extract(command, '-m [^A-Za-z0-9]*([A-Za-z0-9][^' + chr(34) + ']*)', 1)}, '')"}
 
 
-def installs(d: Dialect) -> str:
+def installs(d: Dialect, arg: str = "input") -> str:
     """Packages of an install command, without flags and versions."""
-    command = key(d, "input", "command")
+    command = key(d, arg, "command")
     rest = d.extract(command, r"(?:npm install|npm i|yarn add|pnpm add|pip install|pip3 install|gem install|go get|cargo add) ([^&|;\r\n]*)", 1)
     bare = d.map(d.filter(d.split(rest, " "), "w", "w <> '' AND w NOT LIKE '-%' AND w NOT LIKE '.%'"), "w", d.extract("w", r"^(@?[^@>=<~!]+)", 1))
     return d.sort(d.distinct(d.filter(bare, "w", "length(w) > 1")))
@@ -79,6 +79,13 @@ def imports(d: Dialect, x: str) -> str:
     return d.sort(d.distinct(d.filter(both, "w", f"length(w) > 1 AND lower(w) = w AND w NOT IN {BUILTIN}")))
 
 
+def dependencies(d: Dialect) -> str:
+    """What a record declares, installs and imports, sorted."""
+    both = (lambda a, b: f"concat({a}, {b})") if d.spark else (lambda a, b: f"({a} || {b})")
+    named = d.map(flat_calls(d), "c", both(installs(d, "c.input"), imports(d, "c.content")))
+    return d.sort(d.distinct(d.filter(both(f"coalesce(dependencies, {d.empty()})", f"coalesce(flatten({named}), {d.empty()})"), "w", "length(w) > 1")))
+
+
 def ecosystem(d: Dialect) -> str:
     """Languages of the files that a record's calls name, sorted."""
     files = d.map(flat_calls(d), "c", f"coalesce(nullif({key(d, 'c.input', 'file_path')}, ''), nullif({key(d, 'c.input', 'path')}, ''), '')")

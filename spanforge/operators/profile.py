@@ -111,13 +111,15 @@ def mask_counts(table: DataFrame, specs: list[dict], each: bool = False) -> Data
 
 def load_numbers(table: DataFrame, specs: list[dict]) -> DataFrame:
     """Range, median and distinct count per (feed, load_id, column_name), one row each."""
+    if not specs:
+        return table.sparkSession.createDataFrame([], "feed string, load_id bigint, column_name string, n_distinct bigint, min_value string, max_value string, median_value double")
     aggs, cells = [], []
     for i, s in enumerate(specs):
         c, number = F.col(s["column_name"]), s["value_type"] == "number"
         there = F.when(~missing(c, number), c)
         aggs.append(F.approx_count_distinct(there).alias(f"d{i}"))
         aggs += [F.min(there.cast("string") if not number else there).alias(f"lo{i}"), F.max(there.cast("string") if not number else there).alias(f"hi{i}")]
-        aggs.append((F.percentile_approx(there, 0.5, MEDIAN_ACCURACY) if number else F.lit(None)).cast("double").alias(f"m{i}") if number else F.lit(None).cast("double").alias(f"m{i}"))
+        aggs.append(F.percentile_approx(there, 0.5, MEDIAN_ACCURACY).cast("double").alias(f"m{i}") if number else F.any_value(F.lit(None).cast("double")).alias(f"m{i}"))
         cells.append(F.struct(F.lit(s["column_name"]).alias("column_name"), F.col(f"d{i}").alias("n_distinct"), F.col(f"lo{i}").cast("string").alias("min_value"), F.col(f"hi{i}").cast("string").alias("max_value"), F.col(f"m{i}").alias("median_value")))
     return table.groupBy("feed", "load_id").agg(*aggs).select("feed", "load_id", F.inline(F.array(*cells)))
 

@@ -49,4 +49,6 @@ _rows("call_imports", enrich.flat_calls, lambda d: {"step_pos": "step_pos", "cal
 _rows("trace_hunks", lambda d: enrich.hunks(d, "environment.vcs.diff"), lambda d: {"file_path": "file_path", "start_line": "start_line", "end_line": "end_line"}, "row_id bigint, environment struct<vcs:struct<diff:string>>")
 QUERIES["trace_ecosystem"] = lambda s, d: table(s, d, "traces", _CALLS).selectExpr("row_id", f"{enrich.ecosystem(SPARK)} AS languages")
 ORACLE["trace_ecosystem"] = f"SELECT row_id, {enrich.ecosystem(DUCK)} AS languages FROM traces"
+QUERIES["trace_dependencies"] = lambda s, d: table(s, d, "traces", _CALLS + ", dependencies array<string>").selectExpr("row_id", f"{enrich.dependencies(SPARK)} AS packages")
+ORACLE["trace_dependencies"] = f"SELECT row_id, {enrich.dependencies(DUCK)} AS packages FROM traces"
 QUERIES["trace_attribution"] = lambda s, d: enrich.attribution(table(s, d, "traces", _CALLS))
