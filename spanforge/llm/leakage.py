@@ -186,10 +186,17 @@ def _match(index: ItemIndex, flat: np.ndarray, doc_of: np.ndarray) -> set[tuple[
                 continue
             k, words, s0 = n // BUDGET, index.words[o], int(index.start[o])
             at = y - s0
-            for s in range(max(0, at + q - n), min(len(words) - n, at + r - q) + 1):
+            first, last = max(0, at + q - n), min(len(words) - n, at + r - q)
+            # a window within k errors keeps n - k of its words in the document's part around it
+            left = max(0, x - (at - first) - k)
+            around = flat[left : x + (last - at) + n + k]
+            held = set(around[doc_of[left : left + len(around)] == doc].tolist())
+            piece = words[first : last + n].tolist()
+            there = np.cumsum([0] + [w in held for w in piece])
+            for s in (np.flatnonzero(there[n:] - there[:-n] >= n - k) + first).tolist():
                 lo_ = max(0, x - (at - s) - k)
                 text = flat[lo_ : x + (n - (at - s)) + k]
-                if myers_within(words[s : s + n].tolist(), text[doc_of[lo_ : lo_ + len(text)] == doc].tolist(), k):
+                if myers_within(piece[s - first : s - first + n], text[doc_of[lo_ : lo_ + len(text)] == doc].tolist(), k):
                     found.add((doc, o))
                     break
     return found
