@@ -202,36 +202,50 @@ def _match(index: ItemIndex, flat: np.ndarray, doc_of: np.ndarray) -> set[tuple[
     return found
 
 
+def _opening(text: str) -> tuple[str, str]:
+    """Words of the first sentence, and the rest of the text."""
+    first, *rest = _SENTENCE.split(text.strip(), maxsplit=1)
+    return " ".join(words_of(first)), rest[0] if rest else ""
+
+
+def cut_opening(text: str, shared: set[str]) -> str:
+    key, rest = _opening(text)
+    return rest if key in shared else text
+
+
 def strip_openings(texts: list[str]) -> list[str]:
-    """Items without the instruction sentence that several of them begin with."""
-    first = [_SENTENCE.split(t.strip(), maxsplit=1) for t in texts]
-    key = [" ".join(words_of(f[0])) for f in first]
-    shared = {k for k, n in Counter(key).items() if n >= SHARED_OPENING and k}
-    return [(f[1] if len(f) > 1 else "") if k in shared else t for t, f, k in zip(texts, first, key, strict=True)]
+    """Texts without the instruction sentence that several of them begin with."""
+    count = Counter(_opening(t)[0] for t in texts)
+    return [cut_opening(t, {k for k, n in count.items() if n >= SHARED_OPENING and k}) for t in texts]
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
-    """The items in blocks of at most ``BLOCK_BYTES`` of text, one at a time on the driver.
+def shared_openings(items: DataFrame) -> set[str]:
+    """The opening sentences that at least ``SHARED_OPENING`` items begin with, counted over all items by Spark.
 
-    Openings are counted over all items; an opening is one sentence, so this
-    takes one key per item.
+    They are at most a third as many as the items and one sentence each.
     """
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_opening(t)[0] for t in b.column(0).to_pylist()], pa.string())], names=["opening"])
+
+    counted = items.select("text").mapInArrow(keys, "opening string").groupBy("opening").agg(F.count(F.lit(1)).alias("n"))
+    return {r.opening for r in counted.where((F.col("n") >= SHARED_OPENING) & (F.col("opening") != "")).collect()}
+
+
+def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, list[str]]]]:
+    """The items in blocks of at most ``BLOCK_BYTES`` of text, one at a time on the driver."""
     rows = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").dropDuplicates(["item_id", "text"])
-    ids, texts, size = [], [], 0
-    blocks: list[tuple[list[int], list[str]]] = []
+    shared = shared_openings(rows)
+    block: list[tuple[int, list[str]]] = []
+    size = 0
     for r in rows.toLocalIterator():
-        if size + len(r.text) > BLOCK_BYTES and ids:
-            blocks.append((ids, texts))
-            ids, texts, size = [], [], 0
-        ids.append(r.item_id)
-        texts.append(r.text)
+        if block and size + len(r.text) > BLOCK_BYTES:
+            yield block
+            block, size = [], 0
+        block.append((r.item_id, plain_words(cut_opening(r.text, shared))))
         size += len(r.text)
-    blocks.append((ids, texts))
-    stripped = strip_openings([t for _, ts in blocks for t in ts])
-    k = 0
-    for block_ids, ts in blocks:
-        yield [(i, plain_words(t)) for i, t in zip(block_ids, stripped[k : k + len(ts)], strict=True)]
-        k += len(ts)
+    yield block
 
 
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
