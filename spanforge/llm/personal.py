@@ -61,7 +61,9 @@ NOT_NAMES = set(
     session key value table file public private certificate begin end http https json xml yaml""".split()
 )
 _STREET = r"(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Court|Ct|Way|Boulevard|Blvd|Place|Pl|Square|Sq|Terrace|Close|Crescent|Highway|Hwy|Parkway|Row|Walk)"
-_CITY = r"(?:,?\s+(?:\d{4,6}\s*)?[A-Za-z][a-z]+(?:\s[A-Z][a-z]+)?(?:,?\s+[A-Z]{2})?(?:\s+\d{5})?)?"
+_TOWN = r"[A-Z][a-z]+(?:\s[A-Z][a-z]+)?(?:,?\s[A-Z]{2}\b)?"
+#: a town behind a comma, or on the next line (also a written \n) if a postal code follows it
+_CITY = rf"(?:,\s+(?:\d{{4,6}}\s*)?{_TOWN}(?:\s+\d{{5}})?|\s*(?:\r?\n|\\n)\s*{_TOWN}\s+\d{{5}})?"
 
 CANDIDATES = {
     "email": re.compile(

@@ -36,6 +36,9 @@ def test_case(decided, i):
 def test_redaction(make_traces):
     df = make_traces([{"row_id": i, "task": {"description": f"Ask Greta Holm or call (713) 555-01{i:02d}, mail greta.holm@house.test please."}} for i in range(30)])
     assert {r.text for r in personal.redacted(df).collect()} == {"Ask [NAME] or call [PHONE], mail [EMAIL] please."}
+    places = ["delivery to Flat 6, 1729 Ferry Avenue failed", "The customer lives at 3577 Bracken Way\nTolby 73313 and it fails", '{"home": "2841 Harrow Rd\\nGreywater 22983"}', "ship_to: 3339 Juniper Way, Apt 13, Marsden Heath 98593\nIt is"]
+    df = make_traces([{"row_id": i, "task": {"description": p}} for i, p in enumerate(places)])
+    assert {r.text for r in personal.redacted(df).collect()} == {"delivery to [ADDRESS] failed", "The customer lives at [ADDRESS] and it fails", '{"home": "[ADDRESS]"}', "ship_to: [ADDRESS]\nIt is"}
     assert personal.replace_spans("abcdef", [(0, 3, "name"), (1, 6, "email"), (1, 6, "email")]) == "a[EMAIL]"
 
 
