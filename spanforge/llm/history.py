@@ -6,20 +6,21 @@ own tokens, candidates pass a length filter and a count of shared tokens, the
 rest are verified exactly, and the postings of what is new are appended.
 
 Tokens
-    Texts of fewer than ``SHORT`` words are indexed by their rarest words: two
-    texts with four fifths of the longer's words in common share at least one of
-    the n - ceil(0.8 n) + 1 rarest (word, occurrence) pairs of either.  Longer
-    texts are indexed by their five-word runs, of which a fifth of changed words,
-    scattered at random, leaves a third.  Runs that only one text holds never
-    meet another posting.
+    The (word, occurrence) pairs of a text.  Two texts with four fifths of the longer's
+    words in common share at least one of the n - ceil(0.8 n) + 1 rarest of either, in
+    any order of tokens that is the same for all texts; the order is by the count of a
+    token's bucket of ``ORDER`` (a fixed size, so it fits any vocabulary), then token.
+
+Candidates
+    A posting list is joined in full.  A posting reaches texts of up to 5/4 of what is
+    left of its text from the token's rank on, which is the length filter made sharper;
+    then a parity sketch of 512 bits bounds the words that differ.  Neither drops a pair
+    that is a repeat, whatever the spread of the changes; what is left is verified.
 
 Skew
     Equal word sequences are one record before anything is indexed (pre-aggregated
-    by digest).  In a posting list a record meets the first and the previous one
-    only, so a token that a third of all texts hold costs as many candidates as it
-    has postings, never their square; the members of a group of near-copies share
-    many tokens, and all of them meet the group's first member in some list.
-    Recall against brute force is measured in the tests.
+    by digest).  A list of more than ``LIST`` postings is split into chunks and each
+    pair of chunks is a group of its own, so no list is held in memory as a whole.
 
 Defined results
     * texts are the contents of the steps in order; null and blank contents add
@@ -39,14 +40,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from spanforge.llm.words import Hasher, common_subsequence, shingle_hashes, words_of
+from spanforge.llm.words import Hasher, common_subsequence, words_of
 from spanforge.session import cut
 
 SIMILARITY = 0.8
-SHINGLE = 5
-SHORT = 50
-#: a long pair must meet in this share of the longer text's runs
-MIN_MEETINGS = 0.05
+#: buckets in which tokens are counted for their order by rarity
+ORDER = 1 << 18
+#: a longer posting list is split
+LIST = 8192
+_POSTING = "token bigint, row_id bigint, n int, reach int, sketch binary"
 
 
 def conversations(traces: DataFrame) -> DataFrame:
@@ -80,63 +82,135 @@ def signatures(texts: DataFrame) -> DataFrame:
     return src.mapInArrow(sign, "row_id bigint, n int, digest binary, words array<int>")
 
 
-def shingle_postings(records: DataFrame) -> DataFrame:
-    """(token, row_id, n) for every five-word run of every record."""
+def needed(n):
+    """The words that a repeat has in common with a text of ``n`` words, the longer of the two."""
+    return -(-4 * n // 5)
 
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(2)
-            flat = lists.values.to_numpy(zero_copy_only=False)
-            offsets = lists.offsets.to_numpy()
-            n = np.diff(offsets)
-            if len(flat) < SHINGLE or not len(n):
-                continue
-            h = shingle_hashes(flat, SHINGLE)
-            start = np.arange(len(h))
-            doc = np.searchsorted(offsets, start, side="right") - 1
-            ok = start + SHINGLE <= offsets[doc + 1]
-            doc, h = doc[ok], h[ok]
-            ids, ns = b.column(0).to_numpy(zero_copy_only=False)[doc], b.column(1).to_numpy(zero_copy_only=False)[doc]
-            for lo in range(0, len(h), 1 << 17):
-                hi = lo + (1 << 17)
-                yield pa.RecordBatch.from_arrays([pa.array(h[lo:hi], pa.int64()), pa.array(ids[lo:hi], pa.int64()), pa.array(ns[lo:hi], pa.int32())], names=["token", "row_id", "n"])
 
-    return records.select("row_id", "n", "words").mapInArrow(post, "token bigint, row_id bigint, n int")
+def tokens_of(words: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the (word, occurrence) pairs of a text."""
+    s = np.sort(words)
+    at = np.arange(len(s))
+    first = np.concatenate([[True], s[1:] != s[:-1]])
+    nth = at - np.maximum.accumulate(np.where(first, at, 0))
+    with np.errstate(over="ignore"):
+        h = s.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ nth.view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        for _ in range(2):
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xFF51AFD7ED558CCD)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
 
 
-def word_postings(records: DataFrame) -> DataFrame:
-    """(token, row_id, n) for every (word, occurrence) of short records."""
-    short = records.where(F.col("n") < SHORT).select("row_id", "n", F.posexplode("words").alias("pos", "word"))
-    nth = W.Window.partitionBy("row_id", "word").orderBy("pos")
-    return short.select(F.xxhash64("word", F.row_number().over(nth)).alias("token"), "row_id", "n")
+def _texts(b: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:
+    lists = b.column(column)
+    flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+    for lo, hi in zip(offsets[:-1], offsets[1:], strict=True):
+        yield flat[lo:hi]
 
 
-def rare_word_postings(records: DataFrame) -> DataFrame:
-    """(token, row_id, n): the rarest-first prefix of the words of short records."""
-    tokens = word_postings(records)
-    held = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held"))
-    by_rarity = W.Window.partitionBy("row_id").orderBy("held", "token")
-    ranked = tokens.join(held, "token").withColumn("r", F.row_number().over(by_rarity))
-    return ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * SIMILARITY) + 1).select("token", "row_id", "n")
+def rarity(records: DataFrame) -> DataFrame:
+    """(slot, held): how many tokens fall into each of the ``ORDER`` buckets."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(ORDER, np.int64)
+        for b in batches:
+            for words in _texts(b, 0):
+                np.add.at(held, tokens_of(words) & (ORDER - 1), 1)
+        slot = np.nonzero(held)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(held[slot])], names=["slot", "held"])
 
-def postings(records: DataFrame) -> DataFrame:
-    return shingle_postings(records).unionByName(rare_word_postings(records))
+    return records.select("words").mapInArrow(count, "slot int, held bigint").groupBy("slot").agg(F.sum("held").alias("held"))
 
 
-def candidates(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, that meet in posting lists often enough and have like lengths.
+def postings(records: DataFrame, order: DataFrame) -> DataFrame:
+    """(token, row_id, n, reach, sketch): the rarest-first prefix of every record.
 
-    Within a list a record meets the list's first and its previous record.  Both
-    come from one sorted pass with a running frame, so no list is held in memory.
+    ``reach`` is the length of the longest text that can repeat the record if this
+    is the first token that the two have in common.
     """
-    w = W.Window.partitionBy("token").orderBy("row_id")
-    run = posts.select("token", "row_id", "n", F.first(F.struct("row_id", "n")).over(w.rowsBetween(W.Window.unboundedPreceding, 0)).alias("f"), F.lag(F.struct("row_id", "n")).over(w).alias("p"))
-    fits = lambda o: F.least(F.col(f"{o}.n"), F.col("n")) >= SIMILARITY * F.greatest(F.col(f"{o}.n"), F.col("n"))
-    met = F.array_distinct(F.array(F.when((F.col("f.row_id") < F.col("row_id")) & fits("f"), F.col("f")), F.when((F.col("p.row_id") < F.col("row_id")) & fits("p"), F.col("p"))))
-    pairs = run.where(F.col("p").isNotNull()).select(F.explode(F.array_compact(met)).alias("a"), F.col("row_id").alias("b"), F.col("n"))
-    counted = pairs.groupBy(F.col("a.row_id").alias("a"), "b").agg(F.count(F.lit(1)).alias("met"), F.max(F.greatest("a.n", "n")).alias("longer"))
-    return counted.where((F.col("longer") < SHORT * 5 // 4) | (F.col("met") >= MIN_MEETINGS * F.col("longer"))).select("a", "b")
+    held = np.zeros(ORDER, np.int64)
+    counts = order.toArrow()
+    held[counts.column(0).to_numpy()] = counts.column(1).to_numpy()
+    sent = records.sparkSession.sparkContext.broadcast(held)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sent.value
+        for b in batches:
+            for row_id, words in zip(b.column(0).to_pylist(), _texts(b, 1), strict=True):
+                t, n = tokens_of(words), len(words)
+                bits = np.bincount((t >> 40) & 511, minlength=512) & 1
+                sketch = np.packbits(bits.astype(np.uint8)).tobytes()
+                prefix = t[np.lexsort((t, held[t & (ORDER - 1)]))][: n - needed(n) + 1]
+                k = len(prefix)
+                reach = (n - np.arange(k)) * 5 // 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(prefix), pa.array(np.full(k, row_id, np.int64)), pa.array(np.full(k, n, np.int32)), pa.array(reach.astype(np.int32)), pa.array([sketch] * k, pa.binary())],
+                    names=["token", "row_id", "n", "reach", "sketch"],
+                )
+
+    return records.select("row_id", "words").mapInArrow(post, _POSTING)
+
+
+def _meetings(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, new: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of one list, sorted by n, with at least one new text, that length and sketch let pass."""
+    at = np.arange(len(n))
+    hi = np.searchsorted(n, reach, side="right")
+    fresh = np.concatenate([[0], np.cumsum(new)])
+    busy = (hi > at + 1) & (new | (fresh[np.maximum(hi, at + 1)] > fresh[at + 1]))
+    spare = n - 2 * needed(n)
+    rows = np.ascontiguousarray(sketch.T)
+    for i in np.nonzero(busy)[0]:
+        j = slice(i + 1, hi[i])
+        differ = np.bitwise_count(rows[:, j] ^ rows[:, i : i + 1]).sum(0, dtype=np.int32)
+        ok = differ <= n[i] + spare[j]
+        if not new[i]:
+            ok &= new[j]
+        k = np.nonzero(ok)[0] + i + 1
+        k = k[ids[k] != ids[i]]
+        if len(k):
+            # an accepted text is the earlier one, else the lower row_id
+            swap = np.where(new[k] == new[i], ids[k] < ids[i], new[i])
+            yield np.where(swap, ids[k], ids[i]), np.where(swap, ids[i], ids[k])
+
+
+def candidates(posts: DataFrame) -> DataFrame:
+    """Pairs (a, b), b new, that can have four fifths of the longer's words in common, of (token, row_id, n, reach, sketch, new)."""
+    long = cut(posts.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > LIST))
+    lists = posts.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
+    if not long.isEmpty():
+        parts = posts.join(long, "token", "left").withColumn("k", F.ceil(F.coalesce("held", F.lit(1)) / LIST).cast("int"))
+        parts = parts.withColumn("c", F.pmod(F.xxhash64("row_id"), F.col("k")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+        lists = parts.withColumns({"lo": F.least("c", "o"), "hi": F.greatest("c", "o")})
+    key = ["token", "lo", "hi"]
+    lists = lists.select(*key, "n", "row_id", "reach", "new", "sketch").repartition(*key).sortWithinPartitions(*key, "n")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        last = None
+
+        def pairs() -> Iterator[pa.RecordBatch]:
+            cols = held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
+            met = list(_meetings(*cols)) if len(cols[0]) > 1 else []
+            if met:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*met, strict=True)], names=["a", "b"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            token, lo, hi, n, ids, reach, new = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            n, reach = n.astype(np.int64), reach.astype(np.int64)
+            sketch = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, 8)
+            turn = np.nonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[0] + 1
+            for s, e in zip([0, *turn], [*turn, len(token)], strict=True):
+                this = (token[s], lo[s], hi[s])
+                if this != last and held:
+                    yield from pairs()
+                    held = []
+                last = this
+                held.append([x[s:e] for x in (ids, n, reach, new, sketch)])
+        if held:
+            yield from pairs()
+
+    return lists.mapInArrow(meet, "a bigint, b bigint").distinct()
 
 
 def verify(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -186,7 +260,8 @@ def repeats(traces: DataFrame) -> DataFrame:
     members, reps = representatives(signed)
     records = signed.dropDuplicates(["row_id"]).join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
     records = cut(records.select("row_id", "n", "words"))
-    links = verify(candidates(postings(records)), records)
+    posts = cut(postings(records, rarity(records)))
+    links = verify(candidates(posts.withColumn("new", F.lit(True))), records)
     up = leaders(links)
     rep_of = members.join(up.select(F.col("row_id").alias("rep"), "leader"), "rep", "left").select("row_id", F.coalesce("leader", "rep").alias("row_a"))
     return rep_of.where(F.col("row_a") != F.col("row_id")).select("row_a", F.col("row_id").alias("row_b")).distinct()
@@ -196,7 +271,9 @@ class HistoryIndex:
     """The index of the accepted records in a folder of Parquet files.
 
     ``postings`` is partitioned by a hash of the token, so that a batch of few
-    tokens opens few partitions; ``records`` holds the words for verification.
+    tokens opens few partitions; ``records`` holds the words for verification and
+    the leader of each.  ``order``, the rarity of tokens in the first batch, stays
+    as it is: any fixed order is exact, and tokens unknown to it count as rare.
     """
 
     def __init__(self, folder: str, buckets: int = 64):
@@ -210,37 +287,54 @@ class HistoryIndex:
                 return spark.createDataFrame([], schema)
             raise
 
-    def probe(self, batch: DataFrame) -> DataFrame:
-        """(row_a, row_b) for the rows of ``batch`` that repeat an accepted record or an earlier row of the batch.
-
-        The history is not processed again: its postings are joined by token, its
-        words are read for candidates only.
-        """
+    def _match(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(members, records with the leader they have or are, postings) of a batch; the history is not processed again."""
         spark = batch.sparkSession
         signed = cut(signatures(batch).select("row_id", "n", "digest", "words"))
         members, reps = representatives(signed)
         records = cut(signed.dropDuplicates(["row_id"]).join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n", "digest", "words"))
-        own = shingle_postings(records).unionByName(rare_word_postings(records)).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
-        old = self._read(spark, "postings", "token bigint, row_id bigint, n int, bucket int")
+        order = self._read(spark, "order", "slot int, held bigint")
+        if order.isEmpty():
+            rarity(records).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/order")
+            order = self._read(spark, "order", "slot int, held bigint")
+        own = cut(postings(records, order).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int")))
+        old = self._read(spark, "postings", f"{_POSTING}, bucket int")
         hit = old.join(own.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
-        history = self._read(spark, "records", "row_id bigint, n int, digest binary, words array<int>")
-        # a short text's prefix meets all words of the history's short texts, whatever order made the prefix
-        pairs = candidates(hit.select("token", "row_id", "n").unionByName(own.select("token", "row_id", "n")))
-        pairs = pairs.join(records.select(F.col("row_id").alias("b")), "b", "left_semi")
-        same = records.join(history.select(F.col("row_id").alias("a"), "digest"), "digest").select("a", F.col("row_id").alias("b"))
-        known = history.select("row_id", "words").unionByName(records.select("row_id", "words"))
-        up = leaders(verify(pairs, known).unionByName(same).distinct())
-        rep_of = members.join(up.select(F.col("row_id").alias("rep"), "leader"), "rep", "left").select("row_id", F.coalesce("leader", "rep").alias("row_a"))
+        history = self._read(spark, "records", "row_id bigint, n int, digest binary, words array<int>, leader bigint")
+        own_ids = records.select("row_id")
+        # a row that is delivered again is matched with the others only
+        hit = hit.join(own_ids, "row_id", "left_anti")
+        cols = ("token", "row_id", "n", "reach", "sketch")
+        pairs = candidates(hit.select(*cols, F.lit(False).alias("new")).unionByName(own.select(*cols, F.lit(True).alias("new"))))
+        same = records.join(history.select(F.col("row_id").alias("a"), "digest"), "digest").select("a", F.col("row_id").alias("b")).where("a <> b")
+        known = history.join(own_ids, "row_id", "left_anti").select("row_id", "words").unionByName(records.select("row_id", "words"))
+        links = verify(pairs, known).unionByName(same).distinct()
+        # an accepted record stands for its leader
+        led = history.select(F.col("row_id").alias("a"), F.col("leader").alias("l"))
+        up = leaders(links.join(led, "a", "left").select(F.coalesce("l", "a").alias("a"), "b").where("a <> b"))
+        records = cut(records.join(up, "row_id", "left").withColumn("leader", F.coalesce("leader", "row_id")))
+        return members, records, own
+
+    def probe(self, batch: DataFrame) -> DataFrame:
+        """(row_a, row_b) for the rows of ``batch`` that repeat an accepted record or an earlier row of the batch."""
+        members, records, _ = self._match(batch)
+        return self._found(members, records)
+
+    @staticmethod
+    def _found(members: DataFrame, records: DataFrame) -> DataFrame:
+        rep_of = members.join(records.select(F.col("row_id").alias("rep"), "leader"), "rep").select(F.col("leader").alias("row_a"), "row_id")
         return rep_of.where(F.col("row_a") != F.col("row_id")).select("row_a", F.col("row_id").alias("row_b")).distinct()
 
     def accept(self, batch: DataFrame) -> DataFrame:
-        """Probes with (row_id, text), appends what is new, returns the repeats."""
-        found = cut(self.probe(batch))
-        fresh = cut(signatures(batch.join(found.select(F.col("row_b").alias("row_id")), "row_id", "left_anti")).select("row_id", "n", "digest", "words"))
-        posts = shingle_postings(fresh).unionByName(word_postings(fresh)).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int"))
+        """Probes with (row_id, text), appends all word sequences that are not indexed, returns the repeats."""
+        members, records, own = self._match(batch)
+        history = self._read(batch.sparkSession, "records", "row_id bigint, n int, digest binary, words array<int>, leader bigint")
+        # repeats are appended too: what is close to a repeat need not be close to its leader
+        fresh = cut(records.join(history.select("digest"), "digest", "left_anti").select("row_id", "n", "digest", "words", "leader"))
+        posts = own.join(fresh.select("row_id"), "row_id", "left_semi")
         posts.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
         fresh.write.mode("append").parquet(f"{self.folder}/records")
-        return found
+        return cut(self._found(members, records))
 
 
 def batch_split(traces: DataFrame) -> DataFrame:

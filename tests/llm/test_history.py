@@ -93,3 +93,27 @@ def test_index_grows_by_batches(spark, tmp_path):
     assert {b for _, b in got} <= want
     again = spark.createDataFrame([(10_000 + i, t) for i, t in rows], "row_id bigint, text string")
     assert index.probe(again).count() == sum(bool(words_of(t)) for _, t in rows)
+
+
+def stock(seed, n, k=14):
+    """Sessions of stock steps: every run of words is held by many texts; near-copies have 2 of 15 steps changed."""
+    r = random.Random(seed)
+    steps = [[r.choice(WORDS) for _ in range(12)] for _ in range(k)]
+    base = [[r.randrange(k) for _ in range(15)] for _ in range(n)]
+    copies = [[r.randrange(k) if i in (p, q) else x for i, x in enumerate(b)] for b in base for p, q in [r.sample(range(15), 2)]]
+    rows = base + copies
+    r.shuffle(rows)
+    return [(i, " ".join(" ".join(steps[x]) for x in row)) for i, row in enumerate(rows, 1)]
+
+
+def test_stock_steps_are_compared_in_full(make_traces):
+    rows = stock(5, 150)
+    want = brute(rows)
+    assert len(want) >= 140
+    assert {(x.row_a, x.row_b) for x in history.repeats(as_traces(make_traces, rows)).collect()} == want
+
+
+def test_long_lists_are_split(make_traces, monkeypatch):
+    rows = stock(6, 40)
+    monkeypatch.setattr(history, "LIST", 16)
+    assert {(x.row_a, x.row_b) for x in history.repeats(as_traces(make_traces, rows)).collect()} == brute(rows)
