@@ -117,3 +117,16 @@ def test_long_lists_are_split(make_traces, monkeypatch):
     rows = stock(6, 40)
     monkeypatch.setattr(history, "LIST", 16)
     assert {(x.row_a, x.row_b) for x in history.repeats(as_traces(make_traces, rows)).collect()} == brute(rows)
+
+
+def test_one_word_in_five_changed_evenly(make_traces):
+    r = random.Random(7)
+    rows = []
+    for k, n in enumerate([5, 40, 50, 60, 200, 1000]):
+        w = text(r, n).split()
+        rows += [(2 * k + 1, " ".join(w)), (2 * k + 2, " ".join(f"new{i}" if i % 5 == 4 else x for i, x in enumerate(w)))]
+    short = text(r, 60).split()
+    rows += [(91, " ".join(short)), (92, " ".join(x for i, x in enumerate(short) if i % 5 != 2))]  # 48 of 60 words
+    df = make_traces([{"row_id": i, "batch_no": 1, "steps": [{"content": t}]} for i, t in rows])
+    got = {(x.row_a, x.row_b) for x in history.repeats(df).collect()}
+    assert got == {(2 * k + 1, 2 * k + 2) for k in range(6)} | {(91, 92)}
