@@ -4,8 +4,8 @@
    indexed: (literal, kind, owner, value).
 2. The index is summed up per literal over the whole corpus.  Literals of a known
    token format, keys in PEM blocks and passwords in URLs or commands confirm
-   themselves; a literal that is only assigned to a name is confirmed unless at
-   least ``SHARED_OWNERS`` owners (repositories) hold it, as placeholders do.
+   themselves; a literal that is only assigned to a name is confirmed unless it is
+   weak and at least ``SHARED_OWNERS`` owners (repositories) hold it, as placeholders do.
 3. Every value is read again with an automaton of the confirmed literals, so a
    secret is also found where nothing around it gives it away.
 
@@ -20,7 +20,10 @@ Defined results
     * null, empty and blank values hold nothing; whole texts are read, however long;
     * a value of ``input`` that is no valid JSON is read as plain text;
     * a record delivered twice is reported under both row_ids, a row_id once;
-    * a value without an owner (null repository) has its record as owner.
+    * records without a repository are as many owners as they have sessions or
+      different contents, whichever is less: what is delivered again is one owner;
+    * confirmed literals of fewer than ``MIN_LITERAL`` characters are searched for
+      between characters that are no part of a word, and only if they are mixed.
 """
 
 from __future__ import annotations
@@ -39,7 +42,8 @@ from spanforge.session import cut
 
 SHARED_OWNERS = 8
 BLOCK_BYTES = 16 << 20
-MIN_LITERAL = 10  # shorter ones are found in their place, not searched for elsewhere
+MIN_LITERAL = 10  # shorter ones are searched for as whole tokens only
+SHORTEST = 4
 MARK = "REDACTED"
 
 # Public token formats.
@@ -100,6 +104,30 @@ def strong(v: str) -> bool:
     return (digit and (lower or upper)) or (lower and upper and not v.istitle() and len(set(v)) >= 6) or (odd and (lower or upper) and len(v) >= 8)
 
 
+def weak(v: str) -> bool:
+    """Whether an assigned literal may be a placeholder: words, a sequence or few different characters."""
+    words = sum(len(w) for w in re.findall(r"[A-Z]?[a-z]{3,}|[A-Z]{4,}", v) if 0.2 <= sum(c in "aeiouyAEIOUY" for c in w) / len(w) <= 0.75)
+    low = v.lower()
+    return len(v) < 8 or words >= len(v) / 2 or len(set(v)) < 6 or "1234" in low or "abcd" in low
+
+
+def _findable(v: str) -> bool:
+    """Whether a confirmed literal can be searched for where nothing around it gives it away."""
+    if len(v) >= MIN_LITERAL:
+        return True
+    mixed = sum((any(c.isdigit() for c in v), any(c.islower() for c in v), any(c.isupper() for c in v), any(not c.isalnum() for c in v)))
+    return len(v) >= SHORTEST and mixed >= 2 and not v.istitle() and not _PLACEHOLDER.match(v) and not _SAFE_LOWER.match(v) and not v.replace(".", "").replace("-", "").isdigit()
+
+
+def _whole(text: str, start: int, end: int) -> bool:
+    """Whether text[start:end] is a token of its own (an escape such as \\n before it is no letter)."""
+    before = text[start - 1 : start]
+    if before.isalnum() and text[max(0, start - 2) : start] in ("\\n", "\\t", "\\r"):
+        before = ""
+    after = text[end : end + 1]
+    return not (before.isalnum() or before == "_" or after.isalnum() or after == "_")
+
+
 def _bare(v: str) -> bool:
     """Whether an unquoted value is a literal and not a name or a path."""
     return strong(v) and not _CALL.match(v) and not (_NAME.match(v) and not (any(c.isdigit() for c in v) and any(c.isupper() for c in v) and "_" not in v and "." not in v))
@@ -196,7 +224,7 @@ def readable(field: str, text: str) -> str:
 
 
 def text_values(traces: DataFrame) -> DataFrame:
-    """(row_id, field, path, owner, text) of every input, observation and diff; one projection, no shuffle."""
+    """(row_id, owner, session, digest, field, path, text) of every input, observation and diff; one projection, no shuffle."""
     kind = "struct<field:string,path:string,text:string>"
     empty = F.expr(f"CAST(array() AS array<{kind}>)")
 
@@ -211,31 +239,34 @@ def text_values(traces: DataFrame) -> DataFrame:
         )
 
     rows = F.concat(F.coalesce(F.flatten(F.transform("steps", lambda s, i: F.coalesce(of_step(s, i), empty))), empty), F.array(value("diff", F.lit(""), F.col("environment.vcs.diff"))))
-    owner = F.coalesce(F.col("task.repository"), F.concat(F.lit("row "), F.col("row_id").cast("string")))
-    return traces.where(F.col("row_id").isNotNull()).select("row_id", owner.alias("owner"), F.inline(F.array_compact(rows)))
+    known = F.trim("task.repository") != ""
+    one = traces.where(F.col("row_id").isNotNull()).select("row_id", F.when(known, F.col("task.repository")).alias("owner"), F.nullif(F.trim("session_id"), F.lit("")).alias("session"), F.array_compact(rows).alias("values"))
+    digest = F.when(F.col("owner").isNull(), F.md5(F.concat_ws("\n", F.col("values.text"))))
+    return one.withColumns({"digest": digest, "session": F.when(F.col("owner").isNull(), F.coalesce("session", digest))}).select("row_id", "owner", "session", "digest", F.inline("values"))
 
 
-_INDEX = "row_id bigint, field string, path string, owner string, literal string, kind string"
+_INDEX = "row_id bigint, field string, path string, owner string, session string, digest string, literal string, kind string"
 
 
 def literal_index(values: DataFrame) -> DataFrame:
     """The index: one row per literal of a value."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["row_id", "field", "path", "owner", "literal", "kind"]
-        types = [pa.int64()] + [pa.string()] * 5
+        names = ["row_id", "field", "path", "owner", "session", "digest", "literal", "kind"]
+        types = [pa.int64()] + [pa.string()] * 7
         for b in batches:
             rows = []
-            for row_id, owner, field, path, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-                rows += [(row_id, field, path, owner, v, k) for v, k in literals(readable(field, text))]
+            for row_id, owner, session, digest, field, path, text in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                rows += [(row_id, field, path, owner, session, digest, v, "w" if k == "a" and weak(v) else k) for v, k in literals(readable(field, text))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
 
-    return values.select("row_id", "owner", "field", "path", "text").mapInArrow(read, _INDEX)
+    return values.select("row_id", "owner", "session", "digest", "field", "path", "text").mapInArrow(read, _INDEX)
 
 
 def confirmed(index: DataFrame) -> DataFrame:
     """(literal, n_owners): the literals that are secrets."""
-    per = index.groupBy("literal").agg(F.countDistinct("owner").alias("n_owners"), F.max(F.col("kind") == "f").alias("own_proof"))
+    n_owners = F.countDistinct("owner") + F.least(F.countDistinct("session"), F.countDistinct("digest"))
+    per = index.groupBy("literal").agg(n_owners.alias("n_owners"), F.max(F.col("kind") != "w").alias("own_proof"))
     return per.where(F.col("own_proof") | (F.col("n_owners") < SHARED_OWNERS)).select("literal", "n_owners")
 
 
@@ -243,7 +274,7 @@ def automaton(words: list[str]):
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in words:
+    for w in filter(_findable, words):
         a.add_word(w, w)
         escaped = json.dumps(w, ensure_ascii=False)[1:-1]
         if escaped != w:
@@ -255,7 +286,7 @@ def automaton(words: list[str]):
 
 def blocks(secrets: DataFrame) -> Iterator[list[str]]:
     """The confirmed literals in lists of at most about ``BLOCK_BYTES``."""
-    long = secrets.where(F.length("literal") >= MIN_LITERAL).select("literal")
+    long = secrets.where(F.length("literal") >= SHORTEST).select("literal")
     size = long.agg(F.sum(F.length("literal"))).first()[0] or 0
     n = int(size // BLOCK_BYTES) + 1
     for k in range(n):
@@ -274,7 +305,7 @@ def rescan(values: DataFrame, secrets: DataFrame) -> DataFrame:
                 rows = []
                 if len(a):
                     for row_id, field, path, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                        hits = {w for _, w in a.iter(text)}
+                        hits = {w for e, w in a.iter(text) if len(w) >= MIN_LITERAL or _whole(text, e + 1 - len(w), e + 1)}
                         if hits:
                             rows += [(row_id, field, path, w) for w in hits]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] + [pa.string()] * 3)], names=["row_id", "field", "path", "literal"])
@@ -301,10 +332,17 @@ def found(traces: DataFrame) -> DataFrame:
 def redact(text: str, words: list[str]) -> str:
     """``text`` with each literal, plain or JSON-escaped, replaced."""
     for w in sorted(words, key=len, reverse=True):
-        text = text.replace(w, MARK)
-        escaped = json.dumps(w, ensure_ascii=False)[1:-1]
-        if escaped != w:
-            text = text.replace(escaped, MARK)
+        for form in dict.fromkeys((w, json.dumps(w, ensure_ascii=False)[1:-1])):
+            if len(w) >= MIN_LITERAL:
+                text = text.replace(form, MARK)
+                continue
+            at, parts, whole = 0, [], False
+            for m in re.finditer(re.escape(form), text):
+                if _whole(text, *m.span()):
+                    parts += [text[at : m.start()], MARK]
+                    at, whole = m.end(), True
+            # where it stands in a longer token only, it was found there by its context
+            text = "".join(parts) + text[at:] if whole else text.replace(form, MARK)
     return text
 
 

@@ -12,7 +12,7 @@ LINK_SCHEMA = (
 )
 CONTENT_SCHEMA = "row_id bigint, batch_no bigint, steps array<struct<content:string>>"
 TEXT_SCHEMA = (
-    "row_id bigint, task struct<description:string, repository:string>, environment struct<vcs:struct<diff:string>>, "
+    "row_id bigint, session_id string, task struct<description:string, repository:string>, environment struct<vcs:struct<diff:string>>, "
     "steps array<struct<tool_calls:array<struct<input:string>>, observations:array<struct<content:string>>>>"
 )
 

@@ -79,3 +79,16 @@ def test_empty_invalid_and_long(make_traces):
     long = "lorem ipsum 12 " * 70_000 + f" password='{rnd(14)}'"
     df = make_traces([{"row_id": 1, "steps": [{"tool_calls": [{"input": bad}], "observations": [{"content": long}]}]}, {"row_id": 1, "steps": [{"tool_calls": [{"input": bad}], "observations": [{"content": long}]}]}])
     assert {tuple(r) for r in secrets.found(df).collect()} == {(1, "input", "0.0"), (1, "observation", "0.0")}
+
+
+def test_owners_and_short_literals(make_traces):
+    again, strong_one, short = "Harbour*lantern41", rnd(20), "k7#Qz9"
+    obs = lambda *t: [{"observations": [{"content": x} for x in t]}]
+    rec = [{"row_id": i, "session_id": f"s{i}", "steps": obs(f"password = '{again}'")} for i in range(1, 13)]  # one record without repository, delivered often
+    rec += [{"row_id": 20 + i, "task": {"repository": f"q{i}"}, "steps": obs(f"token = '{strong_one}'")} for i in range(12)]  # a random one is no placeholder, however widely shared
+    rec += [{"row_id": 40, "task": {"repository": "r"}, "steps": obs(f"mysql -u app -p{short} x", f"saw {short} there", f"see ab{short}cd there")}]
+    rec += [{"row_id": 50 + i, "session_id": f"t{i}", "steps": obs(f"run {i}: password = 'Sample9Value'")} for i in range(12)]  # different records share a placeholder
+    df = make_traces(rec)
+    want = {(i, "observation", "0.0") for i in [*range(1, 13), *range(20, 32), 40]} | {(40, "observation", "0.1")}
+    assert {tuple(r) for r in secrets.found(df).collect()} == want
+    assert {r.path: r.text for r in secrets.redacted(df).where("row_id = 40").collect()} == {"0.0": "mysql -u app -pREDACTED x", "0.1": "saw REDACTED there"}
