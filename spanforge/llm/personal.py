@@ -89,7 +89,7 @@ CANDIDATES = {
         rf"|\bP\.?\s?O\.?\sBox\s\d+"
     ),
 }
-CANDIDATES["address_caseless"] = re.compile(CANDIDATES["address"].pattern.replace("[A-Z][a-z]+", "[A-Za-z]+").replace("{1,3}", "{1,2}"), re.I)
+CANDIDATES["address_caseless"] = re.compile(CANDIDATES["address"].pattern.replace("[A-Z][a-z]+", "[A-Za-z]+"), re.I)
 _TITLE = r"(?:Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Professor|Sir|Herr|Frau|Mme|Mlle)\.?"
 _CAP = r"[A-ZÀ-Ý][a-zß-ÿ]+(?:[-'’][A-Z][a-z]+)?"
 # Words that begin a sentence or a heading before a name.
@@ -115,7 +115,12 @@ _MACHINE = re.compile(r"^(?:db|pg|api|hub|queue|cache|build|git|registry|mx|smtp
 _PHONE_CUE = re.compile(r"(?:\btel|phone|call|cell|mobile|fax|reach|dial|ring|\+?number|whatsapp|sms|\bTEL;|contact|,|\n)[^\n]{0,22}$|^$", re.I)
 _NUMBER_CUE = re.compile(r"(?:order|bytes|epoch|build|host|port|version|commit|sha|size|offset|pid|uid|count|total|line|took|of|index|issue|ticket #|sku|isbn|invoice)\W{0,3}$", re.I)
 _ID_CUE = re.compile(r"(?:ssn|social|passport|national|applicant|identity|insurance|tax|citizen|person|form for|row with|licen[cs]e|values|card)[^\n]{0,40}$", re.I)
-_ADDRESS_CUE = re.compile(r"(?:lives? at|ship|deliver|address|home|located|street|moved to|resid|send (?:it )?to|billing|office at)[^\n]{0,24}$", re.I)
+_ADDRESS_CUE = re.compile(r"(?:lives? at|ship|deliver|address|home|located|street|moved to|resid|send (?:it )?to|bill(?:ing|ed)?\b|office at)[^\n]{0,24}$", re.I)
+#: every way of writing the @ that the pattern of mails takes
+_MAIL_AT = re.compile(r"[@＠]|%40|&#64;|[\[({<]\s*at\s*[\])}>]|\sat\s+[a-z0-9-]+\s+dot\s", re.I)
+#: without capitals and without a cue only words that mean nothing but a street propose an address, and no phrase such as "2 cars in the road"
+_PLAIN_STREET = re.compile(r"\b(?:street|avenue|ave|road|rd|lane|boulevard|blvd|terrace|crescent|highway|hwy|parkway)\b|p\.?\s?o\.?\sbox", re.I)
+_NO_STREET = re.compile(r"\b(?:in|on|of|the|a|an|at|to|and|or|for|from|per|by|with|is|are|was)\b", re.I)
 
 LABELERS = {
     "email": ("syntax", "personal_local", "role_account", "machine_place", "example_domain", "mail_context", "machine_host"),
@@ -206,15 +211,15 @@ def shape_features(kind: str, s: str, before: str, after: str) -> list[float]:
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the spans that the patterns propose."""
     out: list[tuple[str, int, int]] = []
-    low = text.lower()
-    if "@" in text or "at]" in low or "at)" in low or " dot " in low or "at}" in low or "at>" in low or "%40" in text or "&#64;" in text or "＠" in text:
+    if _MAIL_AT.search(text):
         out += [("email", m.start(), m.end()) for m in CANDIDATES["email"].finditer(text)]
     out += [("phone", m.start(), m.end()) for m in CANDIDATES["phone"].finditer(text)]
     out += [("idnum", m.start(), m.end()) for m in CANDIDATES["idnum"].finditer(text)]
     out += [("address", m.start(), m.end()) for m in CANDIDATES["address"].finditer(text)]
-    if _ADDRESS_CUE.search(low) or "ship_to" in low or "lives at" in low or "address" in low or "delivery" in low or "home" in low:
-        known = [(a, b) for k, a, b in out if k == "address"]
-        out += [("address", m.start(), m.end()) for m in CANDIDATES["address_caseless"].finditer(text) if not any(a < m.end() and m.start() < b for a, b in known)]
+    known = [(a, b) for k, a, b in out if k == "address"]
+    for m in CANDIDATES["address_caseless"].finditer(text):
+        if not any(a < m.end() and m.start() < b for a, b in known) and (_ADDRESS_CUE.search(text[max(0, m.start() - BEFORE) : m.start()]) or (_PLAIN_STREET.search(m[0]) and not _NO_STREET.search(m[0]))):
+            out.append(("address", m.start(), m.end()))
     mails = [(a, b) for k, a, b in out if k == "email"]
     taken: list[tuple[int, int]] = []
     for m in CUED_NAME.finditer(text):

@@ -50,3 +50,20 @@ def test_empty(make_traces):
 def test_reliabilities():
     p = personal.estimate({"++0": 90, "+00": 40, "0+0": 30, "00-": 80, "+0-": 5, "0--": 60}, "x")
     assert p["++0"] > 0.9 > 0.5 > p["0--"] and p["+0-"] < 0.5
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("please ship it to 12 birch lane before noon, the parcel is packed", "address"), ("INVOICE 7: BILL TO 12 BIRCH LANE AND CLOSE", "address"), ("the parcel is ready, they moved to 7 upper mill hill road last week", "address"),
+        ("write to jane [ at ] corp.test today", "email"), ("write to jane ( at ) corp ( dot ) test today", "email"), ("write to jane at corp\tdot\ttest today", "email"),
+    ],
+)
+def test_no_candidate_is_dropped_before_the_vote(text, kind):
+    got = [text[a:b] for k, a, b in personal.spans(text) if k == kind]
+    assert len(got) == 1 and ("12 birch lane" in got[0].lower() or "7 upper mill hill road" in got[0] or got[0].startswith("jane"))
+
+
+def test_lower_case_address_is_found(make_traces):
+    df = make_traces([{"row_id": i, "task": {"description": t}} for i, t in enumerate(["please ship it to 12 birch lane before noon, the parcel is packed", "INVOICE 7: BILL TO 12 BIRCH LANE AND CLOSE", "2 cars in the road", "3 tests failed in a row"])])
+    assert {(r.row_id, r.pii_kind) for r in personal.found(df).collect()} == {(0, "address"), (1, "address")}
