@@ -24,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -264,45 +265,102 @@ def _cast(v: object, kind: str) -> object:
         return None
 
 
+def regular_fields(fp: DataFrame, steps: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+    """Types by name of the fields outside ``UNIFIED``, and the name for each ``_name_key``.
+
+    Of a producer's field the first name of its renames counts; spellings that differ
+    in case and signs only are one field, named by ``UNIFIED``, else as most files do.
+    Only fields that a tenth of a file's records carry get here, so both are small.
+    """
+    since = steps.where(F.col("change_kind") == "renamed").groupBy("producer", F.col("new_path").alias("path")).agg(F.min("file_no").alias("since")).alias("e")
+    first = canonical_names(steps).alias("k").join(since, F.col("k.producer").eqNullSafe(F.col("e.producer")) & (F.col("k.path") == F.col("e.path"))).select("k.producer", "k.path", "k.canonical", "e.since").alias("c")
+    named = fp.alias("p").join(first, F.col("p.producer").eqNullSafe(F.col("c.producer")) & (F.col("p.path") == F.col("c.path")) & (F.col("p.file_no") >= F.col("c.since")), "left")
+    rows = named.groupBy(F.coalesce("c.canonical", "p.path").alias("name"), "p.kind").count().collect()
+    files: dict[str, dict[str, int]] = {}
+    kinds: dict[str, dict[str, int]] = {}
+    for r in rows:
+        key = _name_key(r["name"]) or r["name"]
+        files.setdefault(key, {})[r["name"]] = files.get(key, {}).get(r["name"], 0) + r["count"]
+        if r["kind"]:
+            kinds.setdefault(key, {})[r["kind"]] = kinds.get(key, {}).get(r["kind"], 0) + r["count"]
+    names = {key: min(n, key=lambda x: (-n[x], x)) for key, n in files.items()} | {_name_key(p): p for p, _ in UNIFIED}
+    known = dict(UNIFIED)
+    types = {names[key]: min(k, key=lambda x: (-k[x], x)) if (k := kinds.get(key)) else "string" for key in files}
+    return {n: k for n, k in sorted(types.items()) if n not in known}, names
+
+
 def unify(raw: DataFrame, steps: DataFrame | None = None) -> DataFrame:
     """All valid records in one table: producer, file_name, line_no, the fields of
-    ``UNIFIED`` (dots written as ``__``) and ``extra``, a JSON object of the fields
-    that have no column there.
+    ``UNIFIED`` and all regular fields of the files (dots written as ``__``), and
+    ``extra``, a JSON object of the fields outside ``UNIFIED``, one-off ones too,
+    under the same names and casts.
 
-    Each record's paths go through the producer's renames, then defaults (null)
-    and casts.  The renames of a producer are joined as one map per producer.
+    Each record's paths go through its producer's renames up to its own file, then
+    defaults (null) and casts.  A producer's renames are joined as one text.
     """
-    steps = steps if steps is not None else migration_steps(raw)
-    names = canonical_names(steps).groupBy("producer").agg(F.map_from_entries(F.collect_list(F.struct("path", "canonical"))).alias("renames"))
-    src = raw.select("producer", "file_name", "line_no", "body").alias("r").join(names.alias("n"), F.col("r.producer").eqNullSafe(F.col("n.producer")), "left").select("r.*", "n.renames")
-    known = dict(UNIFIED)
+    fp = cut(fingerprints(raw))
+    steps = cut(steps if steps is not None else migration_steps(raw))
+    more, names = regular_fields(fp, steps)
+    taken = {"producer", "file_name", "line_no", "extra"} | {p.replace(".", "__").lower() for p, _ in UNIFIED}
+    fields = list(UNIFIED)
+    for p, k in more.items():
+        if p.replace(".", "__").lower() not in taken:
+            taken.add(p.replace(".", "__").lower())
+            fields.append((p, k))
+    seqs = raw.groupBy("producer", "file_name").agg(F.min("file_seq").cast("bigint").alias("file_seq")).alias("q")
+    renamed = steps.where(F.col("change_kind") == "renamed").alias("s").join(seqs, F.col("s.producer").eqNullSafe(F.col("q.producer")) & F.col("s.file_name").eqNullSafe(F.col("q.file_name")))
+    events = renamed.groupBy("s.producer").agg(F.to_json(F.sort_array(F.collect_list(F.struct("file_no", F.col("q.file_seq"), F.col("s.file_name"), "old_path", "new_path")))).alias("renames"))
+    src = raw.select("producer", "file_name", "line_no", F.col("file_seq").cast("bigint").alias("file_seq"), "body").alias("r")
+    src = src.join(events.alias("n"), F.col("r.producer").eqNullSafe(F.col("n.producer")), "left").select("r.*", "n.renames")
+    known, typed = dict(UNIFIED), dict(UNIFIED) | more
+
+    def chain(renames: str) -> tuple[list[tuple], list[dict[str, str]]]:
+        """The files with renames, in order, and the first name of each path from there on."""
+        at, states, first = [], [], {}
+        for x in json.loads(renames):
+            old = x["old_path"]
+            first = first | {x["new_path"]: first.get(old, old)}
+            at.append((x.get("file_seq", float("inf")), x.get("file_name") or ""))
+            states.append(first)
+        return at, states
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chains: dict[str, tuple] = {}
         for pdf in batches:
-            cols: dict[str, list] = {p: [] for p, _ in UNIFIED}
+            cols: dict[str, list] = {p: [] for p, _ in fields}
             keep, extras = [], []
-            for i, (body, renames) in enumerate(zip(pdf["body"], pdf["renames"], strict=True)):
+            for i, (body, renames, seq, file) in enumerate(zip(pdf["body"], pdf["renames"], pdf["file_seq"], pdf["file_name"], strict=True)):
                 obj = parse_object(body)
                 if obj is None:
                     continue
                 keep.append(i)
-                names_of = dict(renames) if renames is not None else {}
+                names_of: dict[str, str] = {}
+                if renames:
+                    if renames not in chains:
+                        if len(chains) > 1000:
+                            chains.clear()
+                        chains[renames] = chain(renames)
+                    at, states = chains[renames]
+                    k = bisect_right(at, (float("inf") if pd.isna(seq) else int(seq), file or ""))
+                    names_of = states[k - 1] if k else {}
                 rec, extra = {}, {}
                 for path, v in leaves(obj):
-                    to = path if path in known else names_of.get(path, path)
-                    if to in known:
-                        if rec.get(to) is None:
-                            rec[to] = _cast(v, known[to])
-                    else:
-                        extra[path] = v
+                    to = path
+                    if path not in known:
+                        to = names_of.get(path, path)
+                        to = names.get(_name_key(to) or to, to)
+                    value = _cast(v, typed[to]) if to in typed else v
+                    if rec.get(to) is None:
+                        rec[to] = value
+                    if to not in known and extra.get(to) is None:
+                        extra[to] = value
                 for p in cols:
                     cols[p].append(rec.get(p))
                 extras.append(json.dumps(extra, sort_keys=True) if extra else None)
             out = pdf.iloc[keep][["producer", "file_name", "line_no"]].reset_index(drop=True)
-            for p, k in UNIFIED:
-                out[p.replace(".", "__")] = pd.Series(cols[p], dtype="float64" if k == "number" else "object")
-            out["extra"] = pd.Series(extras, dtype="object")
-            yield out
+            made = {p.replace(".", "__"): pd.Series(cols[p], dtype="float64" if k == "number" else "object") for p, k in fields}
+            yield pd.concat([out, pd.DataFrame({**made, "extra": pd.Series(extras, dtype="object")})], axis=1)
 
-    schema = "producer string, file_name string, line_no bigint, " + ", ".join(f"{p.replace('.', '__')} {_SQL_TYPE[k]}" for p, k in UNIFIED) + ", extra string"
+    quoted = lambda p: "`" + p.replace(".", "__").replace("`", "``") + "`"
+    schema = "producer string, file_name string, line_no bigint, " + ", ".join(f"{quoted(p)} {_SQL_TYPE[k]}" for p, k in fields) + ", extra string"
     return src.withColumn("line_no", F.col("line_no").cast("bigint")).mapInPandas(read, schema)

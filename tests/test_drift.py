@@ -63,3 +63,19 @@ def test_deep_and_long_bodies(spark):
     deep = '{"a":' * 3000 + "[1]" + "}" * 3000
     got = changes(spark, lines(1, [deep, json.dumps({"a": "x" * 1_000_000})]) + lines(2, many(2, a="y")))
     assert got == [("f2", "", "id", "added"), ("f2", "a" + ".a" * 2999, "", "removed")]
+
+
+def test_regular_fields_have_one_name_and_type(spark):
+    rows = lines(1, many(5, agent={"provider": "x"}, b="one")) + lines(2, many(5, agent_provider="y", c="two")) + lines(3, [*many(5, agent_provider=7, c="three"), {"id": 9, "once": [1]}])
+    rows += lines(1, many(5, agent_provider="z"), producer="q")
+    t = drift.unify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.producer, r.file_name, r.agent__provider) for r in t} >= {("p", "f1", "x"), ("p", "f2", "y"), ("p", "f3", "7"), ("q", "f1", "z")}
+    assert {r.b for r in t if r.file_name == "f2"} == {"two"} and {r.id for r in t} == {0.0, 1.0, 2.0, 3.0, 4.0, 9.0}
+    assert all("agent_provider" not in r.extra and "c" not in json.loads(r.extra) for r in t)
+    assert [json.loads(r.extra)["once"] for r in t if r.id == 9] == [["1"]]
+
+
+def test_a_rename_does_not_reach_earlier_files(spark):
+    rows = lines(1, many(5, a="a1", other=True)) + lines(2, many(5, a="a2", spare="s2", other=True)) + lines(3, many(5, a="a3", other=True)) + lines(4, many(5, spare="a4", other=True))
+    t = drift.unify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.file_name, r.a, r.spare) for r in t} == {("f1", "a1", None), ("f2", "a2", "s2"), ("f3", "a3", None), ("f4", "a4", None)}
