@@ -130,3 +130,11 @@ def test_one_word_in_five_changed_evenly(make_traces):
     df = make_traces([{"row_id": i, "batch_no": 1, "steps": [{"content": t}]} for i, t in rows])
     got = {(x.row_a, x.row_b) for x in history.repeats(df).collect()}
     assert got == {(2 * k + 1, 2 * k + 2) for k in range(6)} | {(91, 92)}
+
+
+def test_a_repeat_of_a_repeat_is_found_by_the_index(spark, tmp_path):
+    w = [f"w{i}" for i in range(100)]
+    texts = [w, w[:85] + [f"x{i}" for i in range(15)], [f"y{i}" for i in range(12)] + w[12:85] + [f"x{i}" for i in range(15)]]
+    index = history.HistoryIndex(str(tmp_path / "index"), buckets=4)
+    got = [{(r.row_a, r.row_b) for r in index.accept(spark.createDataFrame([(i, " ".join(t))], "row_id bigint, text string")).collect()} for i, t in enumerate(texts, 1)]
+    assert got == [set(), {(1, 2)}, {(1, 3)}]
