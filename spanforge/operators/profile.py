@@ -22,6 +22,9 @@ Defined results
 
 from __future__ import annotations
 
+import re
+import string
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,17 +62,36 @@ def missing(c: Column, number: bool) -> Column:
     return F.coalesce((F.length(bare) <= max(map(len, STAND_INS))) & F.lower(bare).isin(STAND_INS), F.lit(True))
 
 
+#: longer values are masked by their runs
+LONG_VALUE = 64
+
+
+_LOWER, _UPPER, _DIGITS = (frozenset(map(ord, x)) for x in (string.ascii_lowercase, string.ascii_uppercase, string.digits))
+#: the signs of times, which masks keep
+_KEPT = "TZ"
+#: what the signs of a mask stand for; a hexadecimal mask is read as so many x
+_TEXT_SIGNS = {"a": _LOWER, "A": _UPPER - frozenset(map(ord, _KEPT)), "9": _DIGITS} | {k: frozenset([ord(k)]) for k in _KEPT}
+_HEX_SIGNS = {"x": frozenset(map(ord, "0123456789abcdef"))}
+_HEX_UPPER_SIGNS = {"x": frozenset(map(ord, "0123456789ABCDEF"))}
+#: the characters of a negated class or a dot; -1 stands for all others, of which only those that may fit are sure
+_UNIVERSE = frozenset(range(32, 127)) | {-1}
+
+
 def mask(c: Column) -> Column:
-    """Character-class mask of a text: runs of letters by case, single digits, the rest as it is.
+    """Character-class mask of a text, one sign for each character: ``a`` a lower-case letter, ``A`` a capital,
+    ``9`` a digit, all else, and T and Z (as in times), as it is.
 
-    Texts of eight or more hexadecimal digits become ``h<length>`` (``H<length>``
-    in upper case), as their letters and digits alternate at random.
+    Eight or more hexadecimal digits are ``h<length>`` (``H<length>`` in upper case), as their letters and digits
+    alternate at random; texts of more than ``LONG_VALUE`` characters are ``r`` and their runs.  As every small
+    letter is generalised and no mask of capitals has an H, no other mask begins with h, H or r.
     """
-    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, "[0-9]", "9"), "[a-z]+", "a"), "[A-Z]+", "A")
+    plain = {chr(c): sign for sign, of in _TEXT_SIGNS.items() for c in of if chr(c) != sign}
+    each = F.translate(c, "".join(plain), "".join(plain.values()))
     return (
         F.when(c.rlike("^[0-9a-f]{8,}$"), F.concat(F.lit("h"), F.length(c).cast("string")))
         .when(c.rlike("^[0-9A-F]{8,}$"), F.concat(F.lit("H"), F.length(c).cast("string")))
-        .otherwise(runs)
+        .when(F.length(c) > LONG_VALUE, F.concat(F.lit("r"), F.regexp_replace(each, r"(.)\1+", "$1")))
+        .otherwise(each)
     )
 
 
@@ -78,49 +100,164 @@ def number_mask(c: Column) -> Column:
     return F.concat(F.when(c < 0, "-9x").otherwise("9x"), F.length(F.abs(c).cast("string")).cast("string"))
 
 
-#: mask of values that fit their column's pattern, where masks of these are not wanted one by one
-FITTING = "(fits)"
 
+def on_masks(pattern: str, signs: dict[str, frozenset], surely: bool) -> str | None:
+    """The pattern as one over masks: of those all of whose values fit (``surely``), or of those any of whose values can.
 
-def mask_counts(table: DataFrame, specs: list[dict], each: bool = False) -> DataFrame:
-    """Counts per (feed, load_id, column_name, mask, value_key).
+    A class of characters holds a sign if it holds all, or any, of the characters that the sign stands for; as a mask
+    has one sign for each character, both are exact.  None for what is no plain sequence, choice or repetition.
+    """
+    from re import _constants as K
+    from re import _parser as parser
+
+    def members(op, arg) -> frozenset | None:
+        if op is K.LITERAL:
+            return frozenset([arg])
+        if op is K.NOT_LITERAL:
+            return _UNIVERSE - {arg}
+        if op is K.ANY:
+            return _UNIVERSE
+        if op is K.RANGE:
+            return frozenset(range(arg[0], arg[1] + 1)) if arg[1] < 65536 else None
+        if op is K.CATEGORY:
+            known = {K.CATEGORY_DIGIT: _DIGITS, K.CATEGORY_WORD: _LOWER | _UPPER | _DIGITS | {95}, K.CATEGORY_SPACE: frozenset(map(ord, " \t\n\r\f\v"))}
+            return known.get(arg)
+        if op is K.IN:
+            out, negated = frozenset(), False
+            for o, x in arg:
+                if o is K.NEGATE:
+                    negated = True
+                    continue
+                one = members(o, x)
+                if one is None:
+                    return None
+                out |= one
+            return _UNIVERSE - out if negated else out
+        return None
+
+    def sign_class(chars: frozenset) -> str:
+        covered = frozenset().union(*signs.values())
+        letters = [s for s, of in signs.items() if (of <= chars if surely else of & chars)]
+        letters += [chr(c) for c in sorted(chars - covered - {-1})]
+        if -1 in chars and not surely:
+            return "[" + "".join(f"\\x{{{ord(x):x}}}" for x in letters) + "\\x{0}-\\x{1f}\\x{7f}-\\x{10ffff}]"
+        return "[" + "".join(f"\\x{{{ord(x):x}}}" for x in letters) + "]" if letters else "[^\\x{0}-\\x{10ffff}]"
+
+    def emit(tree) -> str | None:
+        out = ""
+        for op, arg in tree:
+            if op in (K.MAX_REPEAT, K.MIN_REPEAT):
+                lo, hi, sub = arg
+                one = emit(sub)
+                part = None if one is None else f"(?:{one}){{{lo},{'' if hi is K.MAXREPEAT else hi}}}"
+            elif op is K.SUBPATTERN:
+                one = None if arg[1] or arg[2] else emit(arg[3])
+                part = None if one is None else f"(?:{one})"
+            elif op is K.BRANCH:
+                each = [emit(t) for t in arg[1]]
+                part = None if None in each else f"(?:{'|'.join(each)})"
+            else:
+                chars = members(op, arg)
+                part = None if chars is None else sign_class(chars)
+            if part is None:
+                return None
+            out += part
+        return out
+
+    try:
+        body = emit(parser.parse(pattern))
+    except (re.error, RecursionError):
+        return None
+    return None if body is None else f"\\A(?:{body})\\z"
+
+
+class Verdict(NamedTuple):
+    """Expressions over masks: whether all their values fit a pattern, and whether none does."""
+
+    fits: Column
+    misfits: Column
+
+    @property
+    def open(self) -> Column:
+        return ~self.fits & ~self.misfits
+
+
+def verdict(m: Column, pattern: str | None) -> Verdict:
+    """What a mask says about the fit of its values with ``pattern``; masks that say nothing are open."""
+    no = F.lit(False)
+    if pattern is None:
+        return Verdict(F.lit(True), no)
+    fits, cannot = no, no
+    spelled = F.repeat(F.lit("x"), F.when(F.left(m, F.lit(1)).isin("h", "H"), F.substring(m, 2, 9).try_cast("int")))
+    for own, text, signs in ((m.startswith("h"), spelled, _HEX_SIGNS), (m.startswith("H"), spelled, _HEX_UPPER_SIGNS), (~F.left(m, F.lit(1)).isin("h", "H", "r"), m, _TEXT_SIGNS)):
+        sure, may = on_masks(pattern, signs, True), on_masks(pattern, signs, False)
+        if sure is not None:
+            fits = fits | (own & text.rlike(sure))
+            cannot = cannot | (own & ~text.rlike(may))
+    return Verdict(F.coalesce(fits, no), F.coalesce(cannot, no))
+
+
+def mask_counts(table: DataFrame, specs: list[dict]) -> DataFrame:
+    """Counts per (feed, load_id, column_name, mask, value_key), from one scan.
 
     ``value_key`` is the value in the mix columns and null elsewhere; ``mask`` is
-    null for missing values.  Columns n and n_bad (values off the pattern).
-    Values that fit their column's pattern share the mask ``FITTING``, so only
-    the others are generalised; ``each`` asks for every value's own mask.
+    null for missing values.  Columns n and n_bad (values off the pattern): the
+    mask decides where it can; values of the others are compared one by one, in
+    the mix columns after their equal values were counted.
     """
     none = F.lit(None).cast("string")
-    parts = []
-    for s in specs:  # each column is read, generalised and pre-aggregated by itself, in generated code
-        c, number = F.col(s["column_name"]), s["value_type"] == "number"
-        there, shown, bad = ~missing(c, number), number_mask(c) if number else mask(c), F.lit(0)
+    cells, masked = [], []
+    for i, s in enumerate(specs):
+        c, number, mix = F.col(s["column_name"]), s["value_type"] == "number", s["column_name"] in MIX_COLUMNS
+        there = ~missing(c, number)
+        if not mix:
+            masked.append(F.when(there, number_mask(c) if number else mask(c)).alias(f"_m{i}"))
+        off = F.lit(None).cast("int")
+        if not mix and s["value_pattern"] is not None:
+            off = F.when(verdict(F.col(f"_m{i}"), s["value_pattern"]).open, (~_fits(c, s["value_pattern"])).cast("int"))
+        cells.append(F.struct(F.lit(s["column_name"]).alias("column_name"), (none if mix else F.col(f"_m{i}")).alias("mask"), (F.when(there, c.cast("string")) if mix else none).alias("value_key"), off.alias("off")))
+    if not cells:
+        return table.sparkSession.createDataFrame([], "feed string, load_id bigint, column_name string, mask string, value_key string, n bigint, n_bad bigint")
+    names = [s["column_name"] for s in specs]
+    flat = table.select("feed", "load_id", *dict.fromkeys(names), *masked).select("feed", "load_id", F.inline(F.array(*cells)))
+    counted = flat.groupBy("feed", "load_id", "column_name", "mask", "value_key").agg(F.count(F.lit(1)).alias("n"), F.sum("off").alias("off"))
+    shown, bad = F.coalesce("mask", mask(F.col("value_key"))), F.lit(0)
+    counted = counted.withColumn("mask", shown)
+    for s in specs:
         if s["value_pattern"] is not None:
-            fits = F.coalesce(c.cast("string").rlike(f"\\A(?:{s['value_pattern']})\\z"), F.lit(False))
-            shown = shown if each else F.when(fits, F.lit(FITTING)).otherwise(shown)
-            bad = (there & ~fits).cast("int")
-        key = F.when(there, c.cast("string")) if s["column_name"] in MIX_COLUMNS else none
-        parts.append(table.select("feed", "load_id", F.lit(s["column_name"]).alias("column_name"), F.when(there, shown).alias("mask"), key.alias("value_key"), bad.alias("bad")))
-    if not parts:
-        parts = [table.limit(0).select("feed", "load_id", none.alias("column_name"), none.alias("mask"), none.alias("value_key"), F.lit(0).alias("bad"))]
-    flat = parts[0]
-    for part in parts[1:]:
-        flat = flat.unionByName(part)
-    return flat.groupBy("feed", "load_id", "column_name", "mask", "value_key").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("n_bad"))
-
-
-def load_numbers(table: DataFrame, specs: list[dict]) -> DataFrame:
-    """Range, median and distinct count per (feed, load_id, column_name), one row each."""
+            says = verdict(F.col("mask"), s["value_pattern"])
+            alone = F.when(~_fits(F.col("value_key"), s["value_pattern"]), F.col("n")).otherwise(0) if s["column_name"] in MIX_COLUMNS else F.coalesce("off", F.lit(0))
+            own = F.when(says.fits, 0).when(says.misfits, F.col("n")).otherwise(alone)
+            bad = F.when((F.col("column_name") == s["column_name"]) & F.col("mask").isNotNull(), own).otherwise(bad)
+    return counted.select("feed", "load_id", "column_name", "mask", "value_key", "n", bad.cast("bigint").alias("n_bad"))
+
+
+def _fits(c: Column, pattern: str) -> Column:
+    return F.coalesce(c.cast("string").rlike(f"\\A(?:{pattern})\\z"), F.lit(False))
+
+
+def load_ranges(table: DataFrame, specs: list[dict]) -> DataFrame:
+    """Smallest, largest and median value per (feed, load_id, column_name), one row each."""
     if not specs:
-        return table.sparkSession.createDataFrame([], "feed string, load_id bigint, column_name string, n_distinct bigint, min_value string, max_value string, median_value double")
+        return table.sparkSession.createDataFrame([], "feed string, load_id bigint, column_name string, min_value string, max_value string, median_value double")
     aggs, cells = [], []
     for i, s in enumerate(specs):
         c, number = F.col(s["column_name"]), s["value_type"] == "number"
-        there = F.when(~missing(c, number), c)
-        aggs.append(F.approx_count_distinct(there).alias(f"d{i}"))
-        aggs += [F.min(there.cast("string") if not number else there).alias(f"lo{i}"), F.max(there.cast("string") if not number else there).alias(f"hi{i}")]
+        there = F.when(~missing(c, number), c if number else c.cast("string"))
+        aggs += [F.min(there).alias(f"lo{i}"), F.max(there).alias(f"hi{i}")]
         aggs.append(F.percentile_approx(there, 0.5, MEDIAN_ACCURACY).cast("double").alias(f"m{i}") if number else F.any_value(F.lit(None).cast("double")).alias(f"m{i}"))
-        cells.append(F.struct(F.lit(s["column_name"]).alias("column_name"), F.col(f"d{i}").alias("n_distinct"), F.col(f"lo{i}").cast("string").alias("min_value"), F.col(f"hi{i}").cast("string").alias("max_value"), F.col(f"m{i}").alias("median_value")))
+        cells.append(F.struct(F.lit(s["column_name"]).alias("column_name"), F.col(f"lo{i}").cast("string").alias("min_value"), F.col(f"hi{i}").cast("string").alias("max_value"), F.col(f"m{i}").alias("median_value")))
+    return table.groupBy("feed", "load_id").agg(*aggs).select("feed", "load_id", F.inline(F.array(*cells)))
+
+
+def load_distincts(table: DataFrame, specs: DataFrame) -> DataFrame:
+    """Estimated number of different present values per (feed, load_id, column_name); HyperLogLog, so fixed in size for each load."""
+    spec = read_specs(specs, table)
+    if not spec:
+        return table.sparkSession.createDataFrame([], "feed string, load_id bigint, column_name string, n_distinct bigint")
+    table = table.withColumn("feed", F.coalesce("feed", F.lit("")))
+    aggs = [F.approx_count_distinct(F.when(~missing(F.col(s["column_name"]), s["value_type"] == "number"), F.col(s["column_name"]))).alias(f"d{i}") for i, s in enumerate(spec)]
+    cells = [F.struct(F.lit(s["column_name"]).alias("column_name"), F.col(f"d{i}").alias("n_distinct")) for i, s in enumerate(spec)]
     return table.groupBy("feed", "load_id").agg(*aggs).select("feed", "load_id", F.inline(F.array(*cells)))
 
 
@@ -143,19 +280,27 @@ def latest_reports(checks: DataFrame, specs: list[dict]) -> DataFrame:
     return own.join(F.broadcast(dim), "path").groupBy("load_id", "column_name").agg(last.alias("r")).select("load_id", "column_name", F.col("r.population_rate").alias("reported_rate"))
 
 
-def profile(table: DataFrame, specs: list[dict], masks: DataFrame | None = None, rare: float = 0.05) -> DataFrame:
-    """One row per (feed, load_id, column_name): counts, shares and masks of the load.
+#: a mask of this share of the values in a feed's first load is a dominant pattern of its column
+DOMINANT = 0.05
+
 
-    ``rare_mask_share`` is the share of present values whose mask is held by
-    fewer than ``rare`` of the column's present values in the feed's first load.
+def mined(masks: DataFrame) -> DataFrame:
+    """Counts per (feed, load_id, column_name, mask) of present values with ``is_rare``: the mask is not dominant in the feed's first load.
+
+    The first load is the lowest load_id of the feed that has a present value in the column.
     """
-    masks = masks if masks is not None else mask_counts(table, specs)
-    key = ["feed", "load_id", "column_name"]
-    return masks.groupBy(*key).agg(
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("mask").isNull(), F.col("n")).otherwise(0)).alias("n_missing"),
-        F.sum("n_bad").alias("n_bad"),
-        F.max_by("mask", F.when(F.col("mask").isNotNull(), F.struct("n", "mask"))).alias("top_mask"),
+    m = masks.where(F.col("mask").isNotNull()).groupBy("feed", "load_id", "column_name", "mask").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
+    m = m.withColumn("share", F.col("n") / F.sum("n").over(W.Window.partitionBy("feed", "load_id", "column_name")))
+    m = m.withColumn("first_load", F.min("load_id").over(W.Window.partitionBy("feed", "column_name")))
+    in_first = F.max(F.when(F.col("load_id").eqNullSafe(F.col("first_load")), F.col("share"))).over(W.Window.partitionBy("feed", "column_name", "mask"))
+    m = m.withColumn("first_share", F.coalesce(in_first, F.lit(0.0)))
+    return m.select("feed", "load_id", "column_name", "mask", "n", "n_bad", "share", "first_share", (F.col("first_share") < DOMINANT - _EPS).alias("is_rare"))
+
+
+def profile(masks: DataFrame) -> DataFrame:
+    """One row per (feed, load_id, column_name): rows, missing values and values off the pattern."""
+    return masks.groupBy("feed", "load_id", "column_name").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(F.col("mask").isNull(), F.col("n")).otherwise(0)).alias("n_missing"), F.sum("n_bad").alias("n_bad")
     )
 
 
@@ -199,7 +344,7 @@ def issues(table: DataFrame, specs: DataFrame, checks: DataFrame) -> DataFrame:
     spec = read_specs(specs, table)
     table = table.withColumn("feed", F.coalesce("feed", F.lit(""))) if "feed" in table.columns else table.withColumn("feed", F.lit(""))
     masks = cut(mask_counts(table, spec))
-    per_load = profile(table, spec, masks)
+    per_load = profile(masks)
     per_load = per_load.join(medians(table, spec), ["feed", "load_id", "column_name"], "left").join(divergence(masks.where(F.col("column_name").isin(MIX_COLUMNS)), "value_key"), ["feed", "load_id", "column_name"], "left")
     per_load = per_load.join(latest_reports(checks, spec), ["load_id", "column_name"], "left")
     per_load = per_load.withColumn("missing_share", F.col("n_missing") / F.col("n_rows"))
@@ -217,32 +362,27 @@ def issues(table: DataFrame, specs: DataFrame, checks: DataFrame) -> DataFrame:
     return p.select("load_id", "column_name", F.explode(names).alias("issue")).distinct()
 
 
-def mask_report(table: DataFrame, specs: DataFrame, rare: float = 0.05) -> DataFrame:
-    """Masks per load and column with their share, the share in the feed's first
-    load and whether the mask breaks the column's dominant patterns there.
-
-    A mask is dominant if at least ``rare`` of the first load's present values
-    have it; values of other masks are rare-mask violations.
-    """
+def mask_report(table: DataFrame, specs: DataFrame) -> DataFrame:
+    """Masks per load and column with their share, the share in the feed's first load and whether they break the
+    column's dominant patterns there (rare-mask violations)."""
     spec = read_specs(specs, table)
-    table = table.withColumn("feed", F.coalesce("feed", F.lit("")))
-    m = mask_counts(table, spec, each=True).where(F.col("mask").isNotNull()).groupBy("feed", "load_id", "column_name", "mask").agg(F.sum("n").alias("n"), F.sum("n_bad").alias("n_bad"))
-    w = W.Window.partitionBy("feed", "load_id", "column_name")
-    m = m.withColumn("share", F.col("n") / F.sum("n").over(w))
-    wf = W.Window.partitionBy("feed", "column_name")
-    m = m.withColumn("first_load", F.min("load_id").over(wf))
-    wm = W.Window.partitionBy("feed", "column_name", "mask")
-    m = m.withColumn("first_share", F.coalesce(F.max(F.when(F.col("load_id") == F.col("first_load"), F.col("share"))).over(wm), F.lit(0.0)))
-    return m.select("feed", "load_id", "column_name", "mask", "n", "n_bad", "share", "first_share", (F.col("first_share") < rare).alias("is_rare"))
+    return mined(mask_counts(table.withColumn("feed", F.coalesce("feed", F.lit(""))), spec))
 
 
 def load_profile(table: DataFrame, specs: DataFrame) -> DataFrame:
-    """The profile itself: one row per feed, load and column."""
+    """The profile itself: one row per feed, load and column.
+
+    ``top_mask`` is the most frequent mask (ties: the last by name), ``rare_mask_share`` the share of present values
+    that break the dominant masks of the feed's first load, ``mask_divergence`` half the sum of the absolute
+    differences between the two loads' shares of masks.
+    """
     spec = read_specs(specs, table)
     table = table.withColumn("feed", F.coalesce("feed", F.lit("")))
-    masks = cut(mask_counts(table, spec, each=True))
-    out = profile(table, spec, masks).join(load_numbers(table, spec), ["feed", "load_id", "column_name"], "left")
-    out = out.join(divergence(masks, "mask").withColumnRenamed("distance", "mask_divergence"), ["feed", "load_id", "column_name"], "left")
+    key = ["feed", "load_id", "column_name"]
+    masks = cut(mask_counts(table, spec))
+    top = mined(masks).groupBy(*key).agg(
+        F.max_by("mask", F.struct("n", "mask")).alias("top_mask"), (F.sum(F.when(F.col("is_rare"), F.col("n")).otherwise(0)) / F.sum("n")).alias("rare_mask_share")
+    )
+    out = profile(masks).join(load_ranges(table, spec), key, "left").join(top, key, "left")
+    out = out.join(divergence(masks, "mask").withColumnRenamed("distance", "mask_divergence"), key, "left")
     return out.withColumn("missing_share", F.col("n_missing") / F.col("n_rows"))
-
-

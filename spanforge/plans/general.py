@@ -18,7 +18,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_profile(spark: SparkSession, d: str) -> DataFrame:
-    return profile.load_profile(table(spark, d, "step_usage"), table(spark, d, "field_specs")).drop("top_mask")
+    return profile.load_profile(table(spark, d, "step_usage"), table(spark, d, "field_specs"))
+
+
+def p1_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return profile.load_distincts(table(spark, d, "step_usage"), table(spark, d, "field_specs"))
 
 
 def p1_masks(spark: SparkSession, d: str) -> DataFrame:
@@ -71,7 +75,7 @@ def p4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_profile, p1_masks, p2_found, p2_steps, p2_calls, p2_observations, p2_ranges, p4_found, p4_table, p4_fingerprints)
+    f.__name__: f for f in (p1_found, p1_profile, p1_masks, p1_distinct, p2_found, p2_steps, p2_calls, p2_observations, p2_ranges, p4_found, p4_table, p4_fingerprints)
 }
 
 _STEPS = "SELECT row_id, i - 1 AS sp, steps[i] AS s, steps FROM (SELECT row_id, steps, unnest(range(1, len(steps) + 1)) AS i FROM traces)"
@@ -120,8 +124,38 @@ SELECT DISTINCT load_id, column_name, issue FROM (
  UNION ALL SELECT p.load_id, p.column_name, 'report' FROM per p JOIN rep r USING (load_id, column_name) WHERE abs(r.population_rate - p.present / p.n) > 0.02 + 1e-9)
 """
 
+# masks in SQL: digits, letters but T and Z, and the two special forms; numbers by sign and digits
+_LETTERS = "ABCDEFGHIJKLMNOPQRSUVWXY"
+_MASK = f"""CASE WHEN gone THEN NULL WHEN num IS NOT NULL THEN CASE WHEN num < 0 THEN '-9x' ELSE '9x' END || length(abs(num)::VARCHAR)
+ WHEN regexp_full_match(v, '[0-9a-f]{{8,}}') THEN 'h' || length(v) WHEN regexp_full_match(v, '[0-9A-F]{{8,}}') THEN 'H' || length(v)
+ ELSE translate(v, 'abcdefghijklmnopqrstuvwxyz{_LETTERS}0123456789', repeat('a', 26) || repeat('A', 24) || repeat('9', 10)) END"""
+_CELLS = " UNION ALL ".join(
+    f"SELECT load_id, COALESCE(feed, '') AS feed, '{c}' AS column_name, {c}::VARCHAR AS v, "
+    + (f"COALESCE({c} = -1, TRUE) AS gone, CASE WHEN {c} <> -1 THEN {c} END AS num" if n else f"COALESCE(lower(trim({c})) IN ({_STAND}), TRUE) AS gone, NULL::BIGINT AS num")
+    + " FROM step_usage"
+    for c, n in _P1_COLS
+)
+_MASKED = f"""WITH cells AS (SELECT l.*, {_MASK} AS mask, NOT gone AND value_pattern IS NOT NULL AND NOT regexp_full_match(v, value_pattern) AS bad FROM ({_CELLS}) l JOIN field_specs s USING (column_name)),
+ m0 AS (SELECT feed, load_id, column_name, mask, count(*) AS n, count(*) FILTER (bad) AS n_bad FROM cells WHERE mask IS NOT NULL GROUP BY ALL),
+ m1 AS (SELECT *, n / sum(n) OVER (PARTITION BY feed, load_id, column_name) AS share, min(load_id) OVER (PARTITION BY feed, column_name) AS first_load FROM m0),
+ m2 AS (SELECT *, coalesce(max(CASE WHEN load_id = first_load THEN share END) OVER (PARTITION BY feed, column_name, mask), 0.0) AS first_share FROM m1),
+ masks AS (SELECT feed, load_id, column_name, mask, n, n_bad, share, first_share, first_share < 0.05 - 1e-9 AS is_rare FROM m2)"""
+_P1_PROFILE = f"""{_MASKED},
+ per AS (SELECT feed, load_id, column_name, count(*) AS n_rows, count(*) FILTER (gone) AS n_missing, count(*) FILTER (bad) AS n_bad,
+   coalesce(min(num)::VARCHAR, min(v) FILTER (NOT gone)) AS min_value, coalesce(max(num)::VARCHAR, max(v) FILTER (NOT gone)) AS max_value, quantile_disc(num, 0.5)::DOUBLE AS median_value FROM cells GROUP BY ALL),
+ first_of AS (SELECT feed, column_name, min(load_id) AS first_load FROM per GROUP BY ALL),
+ top AS (SELECT feed, load_id, column_name, max_by(mask, (n, mask)) AS top_mask, coalesce(sum(n) FILTER (is_rare), 0) / sum(n) AS rare_mask_share FROM masks GROUP BY ALL),
+ pairs AS (SELECT p.feed, p.load_id, p.column_name, x.mask, x.share AS d FROM per p JOIN masks x USING (feed, load_id, column_name)
+   UNION ALL SELECT p.feed, p.load_id, p.column_name, y.mask, -y.share FROM per p JOIN first_of f USING (feed, column_name) JOIN masks y ON y.feed = p.feed AND y.column_name = p.column_name AND y.load_id = f.first_load),
+ div AS (SELECT feed, load_id, column_name, sum(abs(d)) / 2 AS mask_divergence FROM (SELECT feed, load_id, column_name, mask, sum(d) AS d FROM pairs GROUP BY ALL) GROUP BY ALL)
+SELECT p.feed, p.load_id, p.column_name, n_rows, n_missing, n_bad, min_value, max_value, median_value, top_mask, rare_mask_share, n_missing / n_rows AS missing_share,
+ CASE WHEN p.load_id <> f.first_load AND t.top_mask IS NOT NULL AND EXISTS (SELECT 1 FROM masks y WHERE y.feed = p.feed AND y.column_name = p.column_name AND y.load_id = f.first_load) THEN mask_divergence END AS mask_divergence
+FROM per p JOIN first_of f USING (feed, column_name) LEFT JOIN top t USING (feed, load_id, column_name) LEFT JOIN div d USING (feed, load_id, column_name)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": _P1,
+    "p1_masks": f"{_MASKED} SELECT * FROM masks",
+    "p1_profile": _P1_PROFILE,
     "p2_found": _P2,
     "p2_calls": f"SELECT row_id, sp::INT AS step_pos, cp::INT AS call_pos, sp || '.' || cp AS call_path, sp::VARCHAR AS parent_path, c.tool_call_id, c.tool_name, c.input, c.duration_ms FROM ({_CALLS})",
     "p2_observations": f"SELECT row_id, sp::INT AS step_pos, op::INT AS obs_pos, sp || '.' || op AS obs_path, {_OBS_PARENT} AS parent_path, o.source_call_id, o.content, o.output_summary, o.error FROM ({_OBS})",
