@@ -138,6 +138,8 @@ def on_masks(pattern: str, signs: dict[str, frozenset], surely: bool) -> str | N
     def sign_class(chars: frozenset) -> str:
         covered = frozenset().union(*signs.values())
         letters = [s for s, of in signs.items() if (of <= chars if surely else of & chars)]
+        if signs is not _TEXT_SIGNS:  # masks of nothing but x
+            return f"[{''.join(letters)}]" if letters else "[^\\x{0}-\\x{10ffff}]"
         letters += [chr(c) for c in sorted(chars - covered - {-1})]
         if -1 in chars and not surely:
             return "[" + "".join(f"\\x{{{ord(x):x}}}" for x in letters) + "\\x{0}-\\x{1f}\\x{7f}-\\x{10ffff}]"
