@@ -6,10 +6,10 @@ producer's files, differences become explicit migration steps (add, remove,
 rename, retype), and the records of a file are then routed through its chained
 steps - rename, default, cast - into one table with one set of fields.
 
-Records are parsed once, in Arrow batches; a batch is reduced to counts per
-(file, path, type) before the shuffle, so what is shuffled grows with the number
-of files times fields, not with the records, and a producer with a third of all
-records is no larger in it than others with as many files.
+Records are parsed where they are read; an Arrow batch is reduced to counts per
+(file, path, type) before the shuffle, and of a line no more than a digest is
+shuffled to find those that repeat, so a producer with a third of all records is
+no larger in the counts than others with as many files.
 
 Defined results
     * lines that are not one valid JSON object are left out (bodies_rejected has
@@ -24,7 +24,6 @@ Defined results
 from __future__ import annotations
 
 import json
-from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -37,6 +36,8 @@ from spanforge.session import cut
 
 #: share of a file's records that must carry a field
 MIN_SHARE = 0.1
+#: a larger table is not broadcast but joined by its keys
+BROADCAST_BYTES = 16 << 20
 
 
 def _no_constant(name: str):
@@ -80,44 +81,52 @@ def leaves(obj: dict) -> Iterator[tuple[str, object]]:
                 yield prefix + k, v
 
 
-def field_counts(records: DataFrame) -> DataFrame:
-    """Counts per (producer, file_seq, file_name, path, kind); path '' counts the records.
+_FILE = ["producer", "file_seq", "file_name"]
 
-    Expects producer, file_seq, file_name and body, one row per distinct line.
-    """
+
+def _counted(lines: DataFrame, sign: int) -> DataFrame:
+    """Counts per (producer, file_seq, file_name, path, kind) of every Arrow batch, times ``sign`` and the lines' ``times``."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             n: dict[tuple, int] = {}
-            for producer, seq, name, body in zip(pdf["producer"], pdf["file_seq"], pdf["file_name"], pdf["body"], strict=True):
+            for producer, seq, name, body, times in zip(*(pdf[c] for c in (*_FILE, "body", "times")), strict=True):
                 obj = parse_object(body)
                 if obj is None:
                     continue
-                seq = None if pd.isna(seq) else int(seq)
-                file = (producer, seq, name)
-                n[(file, "", "record")] = n.get((file, "", "record"), 0) + 1
+                file, times = (producer, None if pd.isna(seq) else int(seq), name), sign * times
+                n[(file, "", "record")] = n.get((file, "", "record"), 0) + times
                 for path, v in leaves(obj):
                     key = (file, path, kind_of(v))
-                    n[key] = n.get(key, 0) + 1
-            yield pd.DataFrame([(*f, p, k, c) for (f, p, k), c in n.items()], columns=["producer", "file_seq", "file_name", "path", "kind", "n"]).astype({"file_seq": "Int64"})
+                    n[key] = n.get(key, 0) + times
+            yield pd.DataFrame([(*f, p, k, c) for (f, p, k), c in n.items()], columns=[*_FILE, "path", "kind", "n"]).astype({"file_seq": "Int64"})
 
-    schema = "producer string, file_seq bigint, file_name string, path string, kind string, n bigint"
-    src = records.select("producer", F.col("file_seq").cast("bigint").alias("file_seq"), "file_name", "body")
-    return src.mapInPandas(count, schema).groupBy("producer", "file_seq", "file_name", "path", "kind").agg(F.sum("n").alias("n"))
+    return lines.select(*_FILE, "body", "times").mapInPandas(count, "producer string, file_seq bigint, file_name string, path string, kind string, n bigint")
 
 
-def distinct_lines(raw: DataFrame) -> DataFrame:
-    """One row per distinct body of a file; the key is a 128-bit digest, so bodies are shuffled once and not compared."""
-    keyed = raw.where(F.col("body").isNotNull()).select("producer", "file_seq", "file_name", "body", F.md5("body").alias("_h"))
-    return keyed.dropDuplicates(["producer", "file_seq", "file_name", "_h"]).drop("_h")
+def field_counts(raw: DataFrame) -> DataFrame:
+    """Counts per (producer, file_seq, file_name, path, kind) over the distinct lines of each file; path '' counts the records.
+
+    Lines are parsed where they are read and only counts are shuffled.  What repeated lines add is taken off again:
+    digests say which lines repeat, and only these, once each, are parsed a second time.
+    """
+    file = F.xxhash64(*[x for c in _FILE for x in (F.col(c), F.col(c).isNull())])
+    lines = raw.where(F.col("body").isNotNull()).select("producer", F.col("file_seq").cast("bigint").alias("file_seq"), "file_name", "body")
+    keyed = lines.withColumns({"_f": file, "_h": F.unhex(F.md5("body"))})
+    again = cut(keyed.groupBy("_f", "_h").agg((F.count(F.lit(1)) - 1).alias("times")).where(F.col("times") > 0))
+    out = _counted(lines.withColumn("times", F.lit(1).cast("bigint")), 1)
+    if not again.isEmpty():
+        small = again.count() * 40 <= BROADCAST_BYTES
+        out = out.unionByName(_counted(keyed.join(F.broadcast(again) if small else again, ["_f", "_h"]).dropDuplicates(["_f", "_h"]), -1))
+    return out.groupBy(*_FILE, "path", "kind").agg(F.sum("n").alias("n"))
 
 
 def fingerprints(raw: DataFrame) -> DataFrame:
-    """Fields per file: producer, file_no (1.. in a producer), file_name, path, kind.
+    """Fields per file: producer, file_no (1.. in a producer), file_seq, file_name, path, kind.
 
     ``kind`` is null for a field that was never anything but null.
     """
-    counts = cut(field_counts(distinct_lines(raw)))
+    counts = cut(field_counts(raw))
     per_path = counts.groupBy("producer", "file_seq", "file_name", "path").agg(
         F.sum("n").alias("n"),
         F.max(F.when(F.col("kind") != "null", F.col("n"))).alias("most"),
@@ -130,14 +139,14 @@ def fingerprints(raw: DataFrame) -> DataFrame:
         files.alias("f"),
         F.col("p.producer").eqNullSafe(F.col("f.producer")) & F.col("p.file_seq").eqNullSafe(F.col("f.file_seq")) & F.col("p.file_name").eqNullSafe(F.col("f.file_name")),
     )
-    had = had.where(F.col("p.n") >= MIN_SHARE * F.col("n_records")).select("f.producer", "f.file_no", "f.n_files", "f.file_name", "p.path", "p.most", "p.kinds")
+    had = had.where(F.col("p.n") >= MIN_SHARE * F.col("n_records")).select("f.producer", "f.file_no", "f.n_files", "f.file_seq", "f.file_name", "p.path", "p.most", "p.kinds")
     along = W.Window.partitionBy("producer", "path").orderBy("file_no")
     top = F.array_sort(F.transform(F.filter("kinds", lambda k: k["n"] == F.col("most")), lambda k: k["kind"]))
     had = had.withColumn("top", top).withColumn("one", F.when(F.size("top") >= 1, F.element_at("top", 1)))
     before = F.last("one", ignorenulls=True).over(along.rowsBetween(W.Window.unboundedPreceding, -1))
     had = had.withColumn("before", before)
     kind = F.when(F.array_contains("top", F.col("before")), F.col("before")).otherwise(F.coalesce("one", "before"))
-    return had.select("producer", "file_no", "n_files", "file_name", "path", kind.alias("kind"))
+    return had.select("producer", "file_no", "n_files", "file_seq", "file_name", "path", kind.alias("kind"))
 
 
 def _name_key(path: str) -> str:
@@ -169,12 +178,12 @@ def pair_renames(gone: list[tuple[str, str | None]], come: list[tuple[str, str |
     return out
 
 
-def migration_steps(raw: DataFrame) -> DataFrame:
+def migration_steps(raw: DataFrame, fp: DataFrame | None = None) -> DataFrame:
     """Every change of a file against its producer's previous one.
 
     Columns producer, file_no, file_name, old_path, new_path, change_kind, kind.
     """
-    fp = cut(fingerprints(raw))
+    fp = fp if fp is not None else cut(fingerprints(raw))
     along = W.Window.partitionBy("producer", "path").orderBy("file_no")
     w = fp.select("*", F.lag("file_no").over(along).alias("last_no"), F.lag("kind").over(along).alias("last_kind"), F.lead("file_no").over(along).alias("next_no"))
     names = fp.select("producer", "file_no", "file_name").distinct()
@@ -210,27 +219,6 @@ def migration_steps(raw: DataFrame) -> DataFrame:
     )
 
 
-def canonical_names(steps: DataFrame) -> DataFrame:
-    """Per producer and path the name it is read under: the last name of its chain of renames.
-
-    Chains are followed in the order of the files; a producer has few renames
-    (its schema changes), so its chain fits one row.
-    """
-    renames = steps.where(F.col("change_kind") == "renamed").groupBy("producer").agg(F.sort_array(F.collect_list(F.struct("file_no", "old_path", "new_path"))).alias("r"))
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for producer, r in zip(pdf["producer"], pdf["r"], strict=True):
-                first: dict[str, str] = {}  # a name to the first name of its chain
-                for x in r:
-                    first[x["new_path"]] = first.get(x["old_path"], x["old_path"])
-                out += [(producer, p, f) for p, f in first.items() if p != f]
-            yield pd.DataFrame(out, columns=["producer", "path", "canonical"])
-
-    return renames.mapInPandas(follow, "producer string, path string, canonical string")
-
-
 #: the one set of fields and types that every file is read into
 UNIFIED = [
     ("schema_version", "string"), ("trace_id", "string"), ("session_id", "string"), ("timestamp_start", "string"), ("timestamp_end", "string"), ("execution_context", "string"),
@@ -265,20 +253,81 @@ def _cast(v: object, kind: str) -> object:
         return None
 
 
-def regular_fields(fp: DataFrame, steps: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
+def follow(changes: list[tuple[int, str, str, str]]) -> list[tuple[str, int, int, str]]:
+    """(path, from_no, to_no, name): under which name the paths of a producer's files are read, where it is not their own.
+
+    ``changes`` are (file_no, old_path, new_path, change_kind).  A field keeps its identity through renames and ends
+    when it is removed; a field that is added later under a free name is another one.  Its name is the one among its
+    paths that ``UNIFIED`` has, else its first path; if two fields of one name live at the same time, the younger one
+    gets the number of its first file behind it.
+    """
+    known = {p for p, _ in UNIFIED}
+    born: list[tuple[int, list[str]]] = []  # identity: first file, paths
+    ends: dict[int, float] = {}
+    live: dict[str, tuple[int, int]] = {}  # path: identity, since which file
+    spans: list[tuple[str, int, float, int]] = []
+
+    def new(path: str, no: int) -> int:
+        born.append((no, [path]))
+        return len(born) - 1
+
+    def leave(path: str, no: int) -> int:
+        who, since = live.pop(path) if path in live else (new(path, 1), 1)
+        spans.append((path, since, no, who))
+        return who
+
+    for no in sorted({c[0] for c in changes}):
+        mine = [c for c in changes if c[0] == no]
+        moved = {new_path: leave(old, no) for _, old, new_path, kind in mine if kind == "renamed"}
+        for _, old, _, kind in mine:
+            if kind == "removed":
+                ends[leave(old, no)] = no
+        for path, who in moved.items():
+            born[who][1].append(path)
+            live[path] = (who, no)
+        for _, _, path, kind in mine:
+            if kind == "added":
+                live[path] = (new(path, no), no)
+    spans += [(path, since, float("inf"), who) for path, (who, since) in live.items()]
+    names: dict[int, str] = {}
+    for who, (first, paths) in sorted(enumerate(born), key=lambda x: x[1][0]):
+        name = next((p for p in paths if p in known), paths[0])
+        clash = any(names[o] == name and ends.get(o, float("inf")) > first for o in names)
+        names[who] = f"{name}__{first}" if clash else name
+    return sorted((path, lo, 0 if hi == float("inf") else int(hi), names[who]) for path, lo, hi, who in spans if names[who] != path)
+
+
+def routes(steps: DataFrame) -> DataFrame:
+    """(producer, path, from_no, to_no, name): ``follow`` of every producer; to_no (exclusive) is 0 for fields that live on."""
+    # the changes of a producer are as many as its schema changes, so they fit one row
+    per = steps.where(F.col("change_kind") != "retyped").groupBy("producer").agg(F.sort_array(F.collect_list(F.struct("file_no", "old_path", "new_path", "change_kind"))).alias("c"))
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for producer, c in zip(pdf["producer"], pdf["c"], strict=True):
+                out += [(producer, *r) for r in follow([(x["file_no"], x["old_path"], x["new_path"], x["change_kind"]) for x in c])]
+            yield pd.DataFrame(out, columns=["producer", "path", "from_no", "to_no", "name"])
+
+    return per.mapInPandas(each, "producer string, path string, from_no int, to_no int, name string")
+
+
+def named_fields(fp: DataFrame, routed: DataFrame) -> DataFrame:
+    """The fields of all files with the name that they are read under."""
+    f, r = fp.alias("f"), routed.alias("r")
+    on = F.col("f.producer").eqNullSafe(F.col("r.producer")) & (F.col("f.path") == F.col("r.path")) & (F.col("f.file_no") >= F.col("r.from_no")) & ((F.col("r.to_no") == 0) | (F.col("f.file_no") < F.col("r.to_no")))
+    return f.join(r, on, "left").select("f.*", F.coalesce("r.name", "f.path").alias("name"))
+
+
+def regular_fields(named: DataFrame) -> tuple[dict[str, str], dict[str, str]]:
     """Types by name of the fields outside ``UNIFIED``, and the name for each ``_name_key``.
 
-    Of a producer's field the first name of its renames counts; spellings that differ
-    in case and signs only are one field, named by ``UNIFIED``, else as most files do.
+    Spellings that differ in case and signs only are one field, named by ``UNIFIED``, else as most files do.
     Only fields that a tenth of a file's records carry get here, so both are small.
     """
-    since = steps.where(F.col("change_kind") == "renamed").groupBy("producer", F.col("new_path").alias("path")).agg(F.min("file_no").alias("since")).alias("e")
-    first = canonical_names(steps).alias("k").join(since, F.col("k.producer").eqNullSafe(F.col("e.producer")) & (F.col("k.path") == F.col("e.path"))).select("k.producer", "k.path", "k.canonical", "e.since").alias("c")
-    named = fp.alias("p").join(first, F.col("p.producer").eqNullSafe(F.col("c.producer")) & (F.col("p.path") == F.col("c.path")) & (F.col("p.file_no") >= F.col("c.since")), "left")
-    rows = named.groupBy(F.coalesce("c.canonical", "p.path").alias("name"), "p.kind").count().collect()
     files: dict[str, dict[str, int]] = {}
     kinds: dict[str, dict[str, int]] = {}
-    for r in rows:
+    for r in named.groupBy("name", "kind").count().collect():
         key = _name_key(r["name"]) or r["name"]
         files.setdefault(key, {})[r["name"]] = files.get(key, {}).get(r["name"], 0) + r["count"]
         if r["kind"]:
@@ -289,66 +338,91 @@ def regular_fields(fp: DataFrame, steps: DataFrame) -> tuple[dict[str, str], dic
     return {n: k for n, k in sorted(types.items()) if n not in known}, names
 
 
-def unify(raw: DataFrame, steps: DataFrame | None = None) -> DataFrame:
+def rules(raw: DataFrame) -> DataFrame:
+    """The rules that each file's records are routed through: producer, file_no, file_name, rule, path, name, kind.
+
+    ``rename``: the path is read as ``name``; ``cast``: its values have another type in this file than the table's
+    ``kind``; ``default``: the file lacks a field that the producer's other files have, so it is null there.
+    """
+    fp = cut(fingerprints(raw))
+    named = cut(named_fields(fp, routes(migration_steps(raw, fp))))
+    more, names = regular_fields(named)
+    typed = dict(UNIFIED) | more
+    dim = raw.sparkSession.createDataFrame([(n, names.get(_name_key(n) or n, n)) for n in {r["name"] for r in named.select("name").distinct().collect()}], "name string, target string")
+    kinds = raw.sparkSession.createDataFrame(list(typed.items()), "target string, to string")
+    all_of = named.join(dim, "name").join(kinds, "target", "left")
+    out = all_of.select("producer", "file_no", "file_name", F.explode(F.array_compact(F.array(
+        F.when(F.col("path") != F.col("target"), F.lit("rename")), F.when(F.col("kind") != F.col("to"), F.lit("cast"))))).alias("rule"), "path", F.col("target").alias("name"), F.col("to").alias("kind"))
+    ever = all_of.select("producer", "target", "to").distinct()
+    files = named.select("producer", "file_no", "file_name").distinct()
+    j = files.alias("x").join(ever.alias("e"), F.col("x.producer").eqNullSafe(F.col("e.producer"))).select("x.producer", "file_no", "file_name", "target", "to").alias("j")
+    has = all_of.select("producer", "file_no", "target").distinct().alias("h")
+    lacks = j.join(has, F.col("j.producer").eqNullSafe(F.col("h.producer")) & (F.col("j.file_no") == F.col("h.file_no")) & (F.col("j.target") == F.col("h.target")), "left_anti")
+    return out.unionByName(lacks.select("producer", "file_no", "file_name", F.lit("default").alias("rule"), F.lit("").alias("path"), F.col("target").alias("name"), F.col("to").alias("kind")))
+
+
+def unify(raw: DataFrame) -> DataFrame:
     """All valid records in one table: producer, file_name, line_no, the fields of
     ``UNIFIED`` and all regular fields of the files (dots written as ``__``), and
     ``extra``, a JSON object of the fields outside ``UNIFIED``, one-off ones too,
     under the same names and casts.
 
-    Each record's paths go through its producer's renames up to its own file, then
-    defaults (null) and casts.  A producer's renames are joined as one text.
+    Each record goes through the rules of its own file: renames by ``routes``, then defaults (null) and casts.  The
+    routes of a producer are one short text; they are broadcast up to ``BROADCAST_BYTES`` in all, else joined.
     """
     fp = cut(fingerprints(raw))
-    steps = cut(steps if steps is not None else migration_steps(raw))
-    more, names = regular_fields(fp, steps)
+    routed = cut(routes(migration_steps(raw, fp)))
+    more, names = regular_fields(named_fields(fp, routed))
     taken = {"producer", "file_name", "line_no", "extra"} | {p.replace(".", "__").lower() for p, _ in UNIFIED}
     fields = list(UNIFIED)
     for p, k in more.items():
         if p.replace(".", "__").lower() not in taken:
             taken.add(p.replace(".", "__").lower())
             fields.append((p, k))
-    seqs = raw.groupBy("producer", "file_name").agg(F.min("file_seq").cast("bigint").alias("file_seq")).alias("q")
-    renamed = steps.where(F.col("change_kind") == "renamed").alias("s").join(seqs, F.col("s.producer").eqNullSafe(F.col("q.producer")) & F.col("s.file_name").eqNullSafe(F.col("q.file_name")))
-    events = renamed.groupBy("s.producer").agg(F.to_json(F.sort_array(F.collect_list(F.struct("file_no", F.col("q.file_seq"), F.col("s.file_name"), "old_path", "new_path")))).alias("renames"))
+    files = fp.select("producer", "file_no", "file_seq", "file_name").distinct()
+    lo, hi = files.alias("lo"), files.alias("hi")
+    r = routed.alias("r")
+    r = r.join(lo, F.col("r.producer").eqNullSafe(F.col("lo.producer")) & (F.col("r.from_no") == F.col("lo.file_no")))
+    r = r.join(hi, F.col("r.producer").eqNullSafe(F.col("hi.producer")) & (F.col("r.to_no") == F.col("hi.file_no")), "left")
+    one = F.struct("r.path", "r.name", F.col("lo.file_seq").alias("seq"), F.col("lo.file_name").alias("file"), (F.col("r.to_no") > 0).alias("ends"), F.col("hi.file_seq").alias("end_seq"), F.col("hi.file_name").alias("end_file"))
+    events = cut(r.groupBy("r.producer").agg(F.to_json(F.sort_array(F.collect_list(one))).alias("routes")))
+    size = events.agg(F.sum(F.length("routes"))).first()[0] or 0
     src = raw.select("producer", "file_name", "line_no", F.col("file_seq").cast("bigint").alias("file_seq"), "body").alias("r")
-    src = src.join(events.alias("n"), F.col("r.producer").eqNullSafe(F.col("n.producer")), "left").select("r.*", "n.renames")
+    src = src.join((F.broadcast(events) if size <= BROADCAST_BYTES else events).alias("n"), F.col("r.producer").eqNullSafe(F.col("n.producer")), "left").select("r.*", "n.routes")
     known, typed = dict(UNIFIED), dict(UNIFIED) | more
 
-    def chain(renames: str) -> tuple[list[tuple], list[dict[str, str]]]:
-        """The files with renames, in order, and the first name of each path from there on."""
-        at, states, first = [], [], {}
-        for x in json.loads(renames):
-            old = x["old_path"]
-            first = first | {x["new_path"]: first.get(old, old)}
-            at.append((x.get("file_seq", float("inf")), x.get("file_name") or ""))
-            states.append(first)
-        return at, states
+    def place(seq, file) -> tuple:
+        return (float("inf") if seq is None or pd.isna(seq) else int(seq), file or "")
+
+    def read_routes(text: str) -> dict[str, list[tuple]]:
+        out: dict[str, list[tuple]] = {}
+        for x in json.loads(text):
+            end = place(x.get("end_seq"), x.get("end_file")) if x["ends"] else (float("inf"), "\U0010ffff")
+            out.setdefault(x["path"], []).append((place(x.get("seq"), x.get("file")), end, x["name"]))
+        return out
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chains: dict[str, tuple] = {}
+        known_routes: dict[str, dict] = {}
         for pdf in batches:
             cols: dict[str, list] = {p: [] for p, _ in fields}
             keep, extras = [], []
-            for i, (body, renames, seq, file) in enumerate(zip(pdf["body"], pdf["renames"], pdf["file_seq"], pdf["file_name"], strict=True)):
+            for i, (body, text, seq, file) in enumerate(zip(pdf["body"], pdf["routes"], pdf["file_seq"], pdf["file_name"], strict=True)):
                 obj = parse_object(body)
                 if obj is None:
                     continue
                 keep.append(i)
-                names_of: dict[str, str] = {}
-                if renames:
-                    if renames not in chains:
-                        if len(chains) > 1000:
-                            chains.clear()
-                        chains[renames] = chain(renames)
-                    at, states = chains[renames]
-                    k = bisect_right(at, (float("inf") if pd.isna(seq) else int(seq), file or ""))
-                    names_of = states[k - 1] if k else {}
+                own: dict[str, list[tuple]] = {}
+                if text:
+                    if text not in known_routes:
+                        if len(known_routes) > 1000:
+                            known_routes.clear()
+                        known_routes[text] = read_routes(text)
+                    own = known_routes[text]
+                here = place(seq, file)
                 rec, extra = {}, {}
                 for path, v in leaves(obj):
-                    to = path
-                    if path not in known:
-                        to = names_of.get(path, path)
-                        to = names.get(_name_key(to) or to, to)
+                    to = next((name for lo, hi, name in own[path] if lo <= here < hi), path) if path in own else path
+                    to = names.get(_name_key(to) or to, to) if to not in known else to
                     value = _cast(v, typed[to]) if to in typed else v
                     if rec.get(to) is None:
                         rec[to] = value

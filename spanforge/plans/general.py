@@ -74,8 +74,12 @@ def p4_fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return drift.fingerprints(table(spark, d, "raw_records")).select("producer", "file_no", "file_name", "path", F.coalesce("kind", F.lit("null")).alias("kind"))
 
 
+def p4_rules(spark: SparkSession, d: str) -> DataFrame:
+    return drift.rules(table(spark, d, "raw_records"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_profile, p1_masks, p1_distinct, p2_found, p2_steps, p2_calls, p2_observations, p2_ranges, p4_found, p4_table, p4_fingerprints)
+    f.__name__: f for f in (p1_found, p1_profile, p1_masks, p1_distinct, p2_found, p2_steps, p2_calls, p2_observations, p2_ranges, p4_found, p4_table, p4_fingerprints, p4_rules)
 }
 
 _STEPS = "SELECT row_id, i - 1 AS sp, steps[i] AS s, steps FROM (SELECT row_id, steps, unnest(range(1, len(steps) + 1)) AS i FROM traces)"
@@ -152,7 +156,23 @@ SELECT p.feed, p.load_id, p.column_name, n_rows, n_missing, n_bad, min_value, ma
  CASE WHEN p.load_id <> f.first_load AND t.top_mask IS NOT NULL AND EXISTS (SELECT 1 FROM masks y WHERE y.feed = p.feed AND y.column_name = p.column_name AND y.load_id = f.first_load) THEN mask_divergence END AS mask_divergence
 FROM per p JOIN first_of f USING (feed, column_name) LEFT JOIN top t USING (feed, load_id, column_name) LEFT JOIN div d USING (feed, load_id, column_name)"""
 
+# fields of each file in SQL: the leaves of an object are the paths that lead to no object (an empty object is none)
+_P4_FINGERPRINTS = """
+WITH RECURSIVE lines AS (SELECT DISTINCT producer, file_seq, file_name, body FROM raw_records WHERE json_valid(body) AND json_type(CASE WHEN json_valid(body) THEN body END) = 'OBJECT'),
+ recs AS (SELECT *, row_number() OVER () AS r FROM lines),
+ tree AS (SELECT r, k AS path, body::JSON -> ('$."' || replace(k, '"', '\\"') || '"') AS v FROM (SELECT r, body, unnest(json_keys(body)) AS k FROM recs)
+   UNION ALL SELECT r, path || '.' || k, v -> ('$."' || replace(k, '"', '\\"') || '"') FROM (SELECT r, path, v, unnest(json_keys(v)) AS k FROM tree WHERE json_type(v) = 'OBJECT')),
+ kinds AS (SELECT r, path, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind FROM tree WHERE json_type(v) <> 'OBJECT'),
+ files AS (SELECT *, row_number() OVER (PARTITION BY producer ORDER BY file_seq NULLS LAST, file_name) AS file_no FROM (SELECT producer, file_seq, file_name, count(*) AS n_records FROM recs GROUP BY ALL)),
+ n AS (SELECT producer, file_no, file_name, n_records, path, kind, count(*) AS n FROM kinds JOIN recs USING (r) JOIN files USING (producer, file_seq, file_name) GROUP BY ALL),
+ had AS (SELECT producer, file_no, file_name, path, max(n) FILTER (kind <> 'null') AS most, list({'k': kind, 'n': n}) AS ks FROM n GROUP BY producer, file_no, file_name, n_records, path HAVING sum(n) >= 0.1 * n_records),
+ top AS (SELECT *, list_sort(list_transform(list_filter(ks, lambda x: x.k <> 'null' AND x.n = most), lambda x: x.k)) AS t FROM had),
+ old AS (SELECT *, last_value(t[1] IGNORE NULLS) OVER (PARTITION BY producer, path ORDER BY file_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM top)
+SELECT producer, file_no, file_name, path, CASE WHEN list_contains(t, before) THEN before ELSE coalesce(t[1], before, 'null') END AS kind FROM old
+"""
+
 ORACLE: dict[str, str] = {
+    "p4_fingerprints": _P4_FINGERPRINTS,
     "p1_found": _P1,
     "p1_masks": f"{_MASKED} SELECT * FROM masks",
     "p1_profile": _P1_PROFILE,

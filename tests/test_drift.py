@@ -79,3 +79,32 @@ def test_a_rename_does_not_reach_earlier_files(spark):
     rows = lines(1, many(5, a="a1", other=True)) + lines(2, many(5, a="a2", spare="s2", other=True)) + lines(3, many(5, a="a3", other=True)) + lines(4, many(5, spare="a4", other=True))
     t = drift.unify(spark.createDataFrame(rows, SCHEMA)).collect()
     assert {(r.file_name, r.a, r.spare) for r in t} == {("f1", "a1", None), ("f2", "a2", "s2"), ("f3", "a3", None), ("f4", "a4", None)}
+
+
+def test_a_free_name_may_come_back(spark):
+    """Six files of one producer: ``sid`` is another field at first, then the new name of session_id, then a new number."""
+    six = [[{"sid": f"OTHER{i}", "session_id": f"A{i}", "z": True} for i in range(5)], [{"session_id": f"B{i}", "z": True} for i in range(5)], [{"sid": f"C{i}", "z": True} for i in range(5)]]
+    six += [[{"sid": f"D{i}", "z": True} for i in range(5)], [{"session_id": f"E{i}", "z": True} for i in range(5)], [{"session_id": f"F{i}", "sid": i, "z": True} for i in range(5)]]
+    rows = [r for k, f in enumerate(six) for r in lines(k + 1, f)]
+    t = drift.unify(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.file_name, r.session_id) for r in t} == {(f"f{k + 1}", f"{x}{i}") for k, x in enumerate("ABCDEF") for i in range(5)}
+    assert {(r.file_name, r.sid) for r in t if r.sid is not None} == {("f6", float(i)) for i in range(5)}  # as many files have a number as a text: number
+
+
+def test_fields_of_one_name_at_the_same_time():
+    got = drift.follow([(2, "a", "b", "renamed"), (3, "", "a", "added"), (5, "b", "", "removed")])
+    assert got == [("a", 3, 0, "a__3"), ("b", 2, 5, "a")]
+    assert drift.follow([(2, "sid", "session_id", "renamed")]) == [("sid", 1, 2, "session_id")]
+
+
+def test_rules_name_renames_casts_and_defaults(spark):
+    rows = lines(1, many(5, a="x", m=1)) + lines(2, many(5, aa="x", m="2")) + lines(3, many(5, aa="x", m=3))
+    got = {(r.file_name, r.rule, r.path, r.name) for r in drift.rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {("f2", "cast", "m", "m"), ("f2", "rename", "aa", "a"), ("f3", "rename", "aa", "a")}
+
+
+def test_repeated_lines_count_once(spark):
+    ten = many(10, a="x")
+    ten[0]["b"] = 1
+    rows = lines(1, many(10, a="x")) + lines(2, [*ten, *[ten[1]] * 30]) + lines(3, many(10, a="x"))
+    assert changes(spark, rows) == [("f2", "", "b", "added"), ("f3", "b", "", "removed")]
