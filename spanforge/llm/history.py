@@ -32,7 +32,9 @@ Defined results
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from spanforge.llm.words import Hasher, common_subsequence, words_of
-from spanforge.session import cut
+from spanforge.session import cut, shared_dir
 
 SIMILARITY = 0.8
 #: buckets in which tokens are counted for their order by rarity
@@ -150,7 +152,7 @@ def postings(records: DataFrame, order: DataFrame) -> DataFrame:
     return records.select("row_id", "words").mapInArrow(post, _POSTING)
 
 
-def _meetings(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, new: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _meetings(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, new: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of one list, sorted by n, with at least one new text, that length and sketch let pass."""
     at = np.arange(len(n))
     hi = np.searchsorted(n, reach, side="right")
@@ -169,11 +171,11 @@ def _meetings(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, new: np.ndarray
         if len(k):
             # an accepted text is the earlier one, else the lower row_id
             swap = np.where(new[k] == new[i], ids[k] < ids[i], new[i])
-            yield np.where(swap, ids[k], ids[i]), np.where(swap, ids[i], ids[k])
+            yield np.where(swap, ids[k], ids[i]), np.where(swap, ids[i], ids[k]), new[k] != new[i]
 
 
 def candidates(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b), b new, that can have four fifths of the longer's words in common, of (token, row_id, n, reach, sketch, new)."""
+    """Pairs (a, b, old), b new and a old or new, that can have four fifths of the longer's words in common, of (token, row_id, n, reach, sketch, new)."""
     long = cut(posts.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > LIST))
     lists = posts.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
     if not long.isEmpty():
@@ -191,7 +193,7 @@ def candidates(posts: DataFrame) -> DataFrame:
             cols = held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
             met = list(_meetings(*cols)) if len(cols[0]) > 1 else []
             if met:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*met, strict=True)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*met, strict=True)], names=["a", "b", "old"])
 
         for b in batches:
             if not b.num_rows:
@@ -210,12 +212,12 @@ def candidates(posts: DataFrame) -> DataFrame:
         if held:
             yield from pairs()
 
-    return lists.mapInArrow(meet, "a bigint, b bigint").distinct()
+    return lists.mapInArrow(meet, "a bigint, b bigint, old boolean").distinct()
 
 
-def verify(pairs: DataFrame, records: DataFrame) -> DataFrame:
-    """The pairs of which four fifths of the longer's words are common, in order."""
-    left = records.select(F.col("row_id").alias("a"), F.col("words").alias("wa"))
+def verify(pairs: DataFrame, earlier: DataFrame, records: DataFrame) -> DataFrame:
+    """The pairs of which four fifths of the longer's words are common, in order; a is of ``earlier``, b of ``records``."""
+    left = earlier.select(F.col("row_id").alias("a"), F.col("words").alias("wa"))
     right = records.select(F.col("row_id").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
 
@@ -248,76 +250,96 @@ def leaders(links: DataFrame) -> DataFrame:
 
 
 def representatives(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of different word sequences, and (row_id, rep) for all rows."""
+    """One record for each word sequence (its lowest row_id), and (row_id, rep) for all rows."""
     w = signed.groupBy("digest", "n").agg(F.min("row_id").alias("rep"))
     members = signed.select("row_id", "digest", "n").join(w, ["digest", "n"]).select("row_id", "rep").distinct()
-    return members, w.select("rep")
-
-
-def repeats(traces: DataFrame) -> DataFrame:
-    """(row_a, row_b): every row that repeats an earlier one, with the first of its group."""
-    signed = cut(signatures(conversations(traces)).select("row_id", "n", "digest", "words"))
-    members, reps = representatives(signed)
-    records = signed.dropDuplicates(["row_id"]).join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
-    records = cut(records.select("row_id", "n", "words"))
-    posts = cut(postings(records, rarity(records)))
-    links = verify(candidates(posts.withColumn("new", F.lit(True))), records)
-    up = leaders(links)
-    rep_of = members.join(up.select(F.col("row_id").alias("rep"), "leader"), "rep", "left").select("row_id", F.coalesce("leader", "rep").alias("row_a"))
-    return rep_of.where(F.col("row_a") != F.col("row_id")).select("row_a", F.col("row_id").alias("row_b")).distinct()
+    return members, signed.dropDuplicates(["row_id"]).join(w.select(F.col("rep").alias("row_id")), "row_id", "left_semi")
 
 
 class HistoryIndex:
     """The index of the accepted records in a folder of Parquet files.
 
-    ``postings`` is partitioned by a hash of the token, so that a batch of few
-    tokens opens few partitions; ``records`` holds the words for verification and
-    the leader of each.  ``order``, the rarity of tokens in the first batch, stays
-    as it is: any fixed order is exact, and tokens unknown to it count as rare.
+    Every accepted batch adds a folder of its own to each part, so accepting it again replaces what it wrote, and a
+    batch whose writing was interrupted does not count (``accepted`` names those that are complete):
+
+    * ``postings`` (token, row_id, n, reach, sketch), partitioned by the token's bucket;
+    * ``digests`` (digest, row_id, leader), partitioned by the digest's bucket, for equal texts;
+    * ``records`` (row_id, words, leader), partitioned by the row's bucket, for verification;
+    * ``order``, the rarity of tokens in the first batch, stays as it is: any fixed order is exact, and tokens
+      unknown to it count as rare.
+
+    A batch reads the partitions of its own tokens and digests, and the words of the buckets that hold a candidate.
     """
 
-    def __init__(self, folder: str, buckets: int = 64):
+    def __init__(self, folder: str, buckets: int = 16):
         self.folder, self.buckets = folder, buckets
 
-    def _read(self, spark, what: str, schema: str) -> DataFrame:
+    def _read(self, spark, what: str, schema: str, batches: list[str], buckets: list[int]) -> DataFrame:
+        """The buckets of a part of the index that ``batches`` wrote."""
+        df = spark.read.schema(f"{schema}, batch string, bucket int").parquet(f"{self.folder}/{what}")
+        return df.where(F.col("batch").isin(batches) & F.col("bucket").isin(buckets))
+
+    def _accepted(self, spark) -> list[str]:
         try:
-            return spark.read.schema(schema).parquet(f"{self.folder}/{what}")
-        except Exception as e:  # nothing accepted so far
+            return [r.batch for r in spark.read.schema("batch string").parquet(f"{self.folder}/accepted").distinct().collect()]  # one row a batch
+        except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return spark.createDataFrame([], schema)
+                return []
             raise
 
-    def _match(self, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(members, records with the leader they have or are, postings) of a batch; the history is not processed again."""
+    def _bucket(self, key: str):
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _order(self, records: DataFrame) -> DataFrame:
+        spark, schema = records.sparkSession, "slot int, held bigint"
+        try:
+            return spark.read.schema(schema).parquet(f"{self.folder}/order").select("slot", "held")
+        except Exception as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+        rarity(records).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/order")
+        return spark.read.schema(schema).parquet(f"{self.folder}/order")
+
+    @staticmethod
+    def _of(df: DataFrame, column: str = "bucket") -> list[int]:
+        return [r[0] for r in df.select(column).distinct().collect()]  # at most as many as there are buckets
+
+    def _match(self, batch: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(members, records with the leader they have or are and whether their text is known, postings) of a batch."""
         spark = batch.sparkSession
         signed = cut(signatures(batch).select("row_id", "n", "digest", "words"))
-        members, reps = representatives(signed)
-        records = cut(signed.dropDuplicates(["row_id"]).join(reps.select(F.col("rep").alias("row_id")), "row_id", "left_semi").select("row_id", "n", "digest", "words"))
-        order = self._read(spark, "order", "slot int, held bigint")
-        if order.isEmpty():
-            rarity(records).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/order")
-            order = self._read(spark, "order", "slot int, held bigint")
-        own = cut(postings(records, order).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int")))
-        old = self._read(spark, "postings", f"{_POSTING}, bucket int")
+        members, records = representatives(signed)
+        records = cut(records.select("row_id", "n", "digest", "words"))
+        own = cut(postings(records, self._order(records)).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int")))
+        cols = ("token", "row_id", "n", "reach", "sketch")
+        new = own.select(*cols, F.lit(True).alias("new"))
+        done = sorted(set(self._accepted(spark)) - {name})
+        if not done:
+            links = verify(candidates(new).select("a", "b"), records, records)
+            records = records.join(leaders(links), "row_id", "left").select("row_id", "digest", "words", F.coalesce("leader", "row_id").alias("leader"), F.lit(False).alias("known"))
+            return members, cut(records), own
+        ids = records.select(F.col("row_id").alias("a"))
+        old = self._read(spark, "postings", _POSTING, done, self._of(own))
         hit = old.join(own.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
-        history = self._read(spark, "records", "row_id bigint, n int, digest binary, words array<int>, leader bigint")
-        own_ids = records.select("row_id")
+        pairs = cut(candidates(hit.select(*cols, F.lit(False).alias("new")).unionByName(new)))
         # a row that is delivered again is matched with the others only
-        hit = hit.join(own_ids, "row_id", "left_anti")
-        cols = ("token", "row_id", "n", "reach", "sketch")
-        pairs = candidates(hit.select(*cols, F.lit(False).alias("new")).unionByName(own.select(*cols, F.lit(True).alias("new"))))
-        same = records.join(history.select(F.col("row_id").alias("a"), "digest"), "digest").select("a", F.col("row_id").alias("b")).where("a <> b")
-        known = history.join(own_ids, "row_id", "left_anti").select("row_id", "words").unionByName(records.select("row_id", "words"))
-        links = verify(pairs, known).unionByName(same).distinct()
+        far = cut(pairs.where("old").join(ids, "a", "left_anti").select("a", "b").withColumn("bucket", self._bucket("a")))
+        history = self._read(spark, "records", "row_id bigint, words array<int>, leader bigint", done, self._of(far)).dropDuplicates(["row_id"])
+        keyed = records.withColumn("bucket", self._bucket("digest"))
+        digests = self._read(spark, "digests", "digest binary, row_id bigint, leader bigint", done, self._of(keyed))
+        same = digests.select(F.col("row_id").alias("a"), "digest", "bucket", "leader").join(keyed.select("digest", "bucket", F.col("row_id").alias("b")), ["bucket", "digest"])
+        same = cut(same.select("a", "b", "leader"))
+        near = verify(pairs.where("NOT old").select("a", "b"), records, records)
+        led = verify(far.select("a", "b"), history, records).join(history.select(F.col("row_id").alias("a"), "leader"), "a").select("leader", "b")
         # an accepted record stands for its leader
-        led = history.select(F.col("row_id").alias("a"), F.col("leader").alias("l"))
-        up = leaders(links.join(led, "a", "left").select(F.coalesce("l", "a").alias("a"), "b").where("a <> b"))
-        records = cut(records.join(up, "row_id", "left").withColumn("leader", F.coalesce("leader", "row_id")))
-        return members, records, own
+        links = near.unionByName(led.unionByName(same.where("a <> b").select("leader", "b")).select(F.col("leader").alias("a"), "b")).where("a <> b")
+        known = same.groupBy(F.col("b").alias("row_id")).agg(F.lit(True).alias("known"))
+        records = records.join(leaders(links), "row_id", "left").join(known, "row_id", "left")
+        return members, cut(records.select("row_id", "digest", "words", F.coalesce("leader", "row_id").alias("leader"), F.coalesce("known", F.lit(False)).alias("known"))), own
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(row_a, row_b) for the rows of ``batch`` that repeat an accepted record or an earlier row of the batch."""
-        members, records, _ = self._match(batch)
+        members, records, _ = self._match(batch, "")
         return self._found(members, records)
 
     @staticmethod
@@ -325,16 +347,52 @@ class HistoryIndex:
         rep_of = members.join(records.select(F.col("row_id").alias("rep"), "leader"), "rep").select(F.col("leader").alias("row_a"), "row_id")
         return rep_of.where(F.col("row_a") != F.col("row_id")).select("row_a", F.col("row_id").alias("row_b")).distinct()
 
-    def accept(self, batch: DataFrame) -> DataFrame:
-        """Probes with (row_id, text), appends all word sequences that are not indexed, returns the repeats."""
-        members, records, own = self._match(batch)
-        history = self._read(batch.sparkSession, "records", "row_id bigint, n int, digest binary, words array<int>, leader bigint")
+    def accept(self, batch: DataFrame, name: str) -> DataFrame:
+        """Probes with (row_id, text), appends all word sequences that are not indexed under the batch's name, returns the repeats.
+
+        A batch that is accepted again is compared with the others and replaces what it wrote.
+        """
+        members, records, own = self._match(batch, name)
         # repeats are appended too: what is close to a repeat need not be close to its leader
-        fresh = cut(records.join(history.select("digest"), "digest", "left_anti").select("row_id", "n", "digest", "words", "leader"))
-        posts = own.join(fresh.select("row_id"), "row_id", "left_semi")
-        posts.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.folder}/postings")
-        fresh.write.mode("append").parquet(f"{self.folder}/records")
-        return cut(self._found(members, records))
+        fresh = records.where("NOT known")
+        self._write(own.join(fresh.select("row_id"), "row_id", "left_semi"), "postings", name)
+        self._write(fresh.select("digest", "row_id", "leader").withColumn("bucket", self._bucket("digest")), "digests", name)
+        self._write(fresh.select("row_id", "words", "leader").withColumn("bucket", self._bucket("row_id")), "records", name)
+        spark = batch.sparkSession
+        spark.createDataFrame([(name,)], "batch string").coalesce(1).write.mode("append").parquet(f"{self.folder}/accepted")
+        return self._found(members, records)
+
+    def _write(self, part: DataFrame, what: str, name: str) -> None:
+        part.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{what}/batch={name}")
+
+
+def deliveries(traces: DataFrame, most: int) -> list[DataFrame]:
+    """The batches in order of batch_no, in at most ``most`` runs of batches of about as many rows; null batches come first."""
+    n = traces.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("batch_no").asc_nulls_first()).collect()  # one row a batch
+    total, upto, cuts = sum(r.n for r in n), 0, []
+    for r in n:
+        k = upto * most // max(total, 1)
+        if not cuts or k > cuts[-1][0]:
+            cuts.append((k, []))
+        cuts[-1][1].append(r.batch_no)
+        upto += r.n
+    return [traces.where(F.col("batch_no").isin([b for b in bs if b is not None]) | (F.col("batch_no").isNull() if None in bs else F.lit(False))) for _, bs in cuts] or [traces]
+
+
+#: deliveries in which a whole table is given to an index
+DELIVERIES = 2
+
+
+def repeats(traces: DataFrame, most: int = DELIVERIES, folder: str | None = None) -> DataFrame:
+    """(row_a, row_b): every row that repeats an earlier one, with the first of its group.
+
+    The batches are accepted in order by a ``HistoryIndex`` in the shared folder, ``most`` deliveries for all; how
+    they are divided makes no difference for what is linked, only for what an index holds at a time.
+    """
+    spark = traces.sparkSession
+    index = HistoryIndex(folder or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}")
+    found = [cut(index.accept(conversations(part).select("row_id", "text"), f"{k:06d}")) for k, part in enumerate(deliveries(traces, most))]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def batch_split(traces: DataFrame) -> DataFrame:
@@ -342,5 +400,3 @@ def batch_split(traces: DataFrame) -> DataFrame:
     found = repeats(traces).select(F.col("row_b").alias("row_id"), F.lit(1).alias("again"))
     rows = traces.select("batch_no", "row_id").distinct().join(found, "row_id", "left")
     return rows.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows"), F.count("again").alias("n_repeats"), (F.count(F.lit(1)) - F.count("again")).alias("n_new"))
-
-

@@ -55,7 +55,7 @@ def test_subsequence():
 
 
 def as_traces(make_traces, rows):
-    return make_traces([{"row_id": i, "batch_no": i % 5, "steps": None if t is None else [{"content": t[: len(t) // 2]}, None, {"content": None}, {"content": t[len(t) // 2 :]}]} for i, t in rows])
+    return make_traces([{"row_id": i, "batch_no": i // 100, "steps": None if t is None else [{"content": t[: len(t) // 2]}, None, {"content": None}, {"content": t[len(t) // 2 :]}]} for i, t in rows])
 
 
 def test_repeats_against_brute_force(spark):
@@ -72,7 +72,7 @@ def test_nulls_empties_ties_and_repeats(make_traces):
     df = as_traces(make_traces, [(1, None), (2, ""), (3, "   "), (4, "..."), (7, long), (5, long), (5, long), (9, long.upper())])
     assert {(r.row_a, r.row_b) for r in history.repeats(df).collect()} == {(5, 7), (5, 9)}
     assert history.repeats(as_traces(make_traces, [])).count() == 0
-    assert {r.batch_no: (r.n_rows, r.n_repeats) for r in history.batch_split(df).collect()}[2] == (2, 1)
+    assert {r.batch_no: (r.n_rows, r.n_repeats) for r in history.batch_split(df).collect()}[0] == (7, 2)
 
 
 def test_very_long_text(make_traces):
@@ -87,7 +87,7 @@ def test_index_grows_by_batches(spark, tmp_path):
     got = set()
     for lo in range(0, len(rows), 30):
         part = spark.createDataFrame(rows[lo : lo + 30], "row_id bigint, text string")
-        got |= {(r.row_a, r.row_b) for r in index.accept(part).collect()}
+        got |= {(r.row_a, r.row_b) for r in index.accept(part, f"b{lo}").collect()}
     want = {b for _, b in brute(rows)}
     assert len({b for _, b in got} & want) >= 0.9 * len(want)
     assert {b for _, b in got} <= want
@@ -136,5 +136,53 @@ def test_a_repeat_of_a_repeat_is_found_by_the_index(spark, tmp_path):
     w = [f"w{i}" for i in range(100)]
     texts = [w, w[:85] + [f"x{i}" for i in range(15)], [f"y{i}" for i in range(12)] + w[12:85] + [f"x{i}" for i in range(15)]]
     index = history.HistoryIndex(str(tmp_path / "index"), buckets=4)
-    got = [{(r.row_a, r.row_b) for r in index.accept(spark.createDataFrame([(i, " ".join(t))], "row_id bigint, text string")).collect()} for i, t in enumerate(texts, 1)]
+    got = [{(r.row_a, r.row_b) for r in index.accept(spark.createDataFrame([(i, " ".join(t))], "row_id bigint, text string"), f"b{i}").collect()} for i, t in enumerate(texts, 1)]
     assert got == [set(), {(1, 2)}, {(1, 3)}]
+
+
+def test_batch_after_batch_equals_one_delivery(make_traces):
+    rows = [(i, t) for i, t in stock(8, 40)]
+    df = make_traces([{"row_id": i, "batch_no": 1 + i // 30, "steps": [{"content": t}]} for i, t in rows] + [{"row_id": 500, "batch_no": None, "steps": [{"content": rows[0][1]}]}])
+    linked = [{r.row_b for r in history.repeats(df, k).collect()} for k in (1, 3)]
+    assert linked[1] >= linked[0] - {rows[0][0]} and {x for x in linked[0] ^ linked[1]} <= {rows[0][0], 500}
+
+
+def test_a_resumed_session_does_not_hide_a_repeat(make_traces):
+    r = random.Random(9)
+    w = text(r, 600).split()
+    near = w[:300] + [f"n{i}" for i in range(15)] + w[315:]
+    longer = [text(r, 400).split() + w + text(r, 400).split() for _ in range(2)]
+    rows = [(1, longer[0]), (2, w), (3, longer[1]), (4, near)]
+    df = make_traces([{"row_id": i, "batch_no": i, "steps": [{"content": " ".join(t)}]} for i, t in rows])
+    assert {(x.row_a, x.row_b) for x in history.repeats(df, 4).collect()} == {(2, 4)}
+
+
+def test_an_accepted_batch_can_be_accepted_again(spark, tmp_path):
+    rows = sorted(sample(4, 20))
+    first, second = (spark.createDataFrame(x, "row_id bigint, text string") for x in (rows[:20], rows[20:]))
+    index = history.HistoryIndex(str(tmp_path / "index"), buckets=4)
+    index.accept(first, "one")
+    once = {(r.row_a, r.row_b) for r in index.accept(second, "two").collect()}
+    held = spark.read.parquet(str(tmp_path / "index/postings")).count()
+    assert {(r.row_a, r.row_b) for r in index.accept(second, "two").collect()} == once
+    assert spark.read.parquet(str(tmp_path / "index/postings")).count() == held
+
+
+def test_an_unfinished_batch_does_not_count(spark, tmp_path):
+    index = history.HistoryIndex(str(tmp_path / "index"), buckets=2)
+    a = spark.createDataFrame([(1, "one two three four five")], "row_id bigint, text string")
+    b = spark.createDataFrame([(2, "six seven eight nine ten")], "row_id bigint, text string")
+    index.accept(a, "a")
+    index._write(spark.createDataFrame([(bytearray(16), 9, 9, 0)], "digest binary, row_id bigint, leader bigint, bucket int"), "digests", "broken")
+    assert index._accepted(spark) == ["a"]
+    assert index.accept(b, "b").count() == 0
+    assert {(r.row_a, r.row_b) for r in index.probe(spark.createDataFrame([(3, "Six, seven eight nine ten!"), (4, "one two three four")], "row_id bigint, text string")).collect()} == {(2, 3), (1, 4)}
+
+
+def test_a_batch_reads_only_its_partitions(spark, tmp_path):
+    index = history.HistoryIndex(str(tmp_path / "index"), buckets=16)
+    index.accept(spark.createDataFrame([(i, text(random.Random(i), 40)) for i in range(60)], "row_id bigint, text string"), "a")
+    plan = index._read(spark, "records", "row_id bigint, words array<int>, leader bigint", ["a"], [3])._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters:") :].split("PushedFilters")[0]
+    assert "bucket" in filters and "batch" in filters
+    assert index._read(spark, "records", "row_id bigint, words array<int>, leader bigint", ["a"], [3]).count() < 30
