@@ -71,11 +71,21 @@ def counts(d: Dialect, x: str) -> dict[str, str]:
 
 
 def redact(d: Dialect, x: str) -> str:
-    """The text with every pattern without exclusions replaced by [REDACTED]."""
+    """The text with every finding replaced by [REDACTED]; what a pattern allows stays."""
+    out = x
     for _, _, pattern, allowed in PATTERNS:
         if not allowed:
-            x = d.replace(x, pattern, "[REDACTED]")
-    return x
+            out = d.replace(out, pattern, "[REDACTED]")
+            continue
+        hits = d.distinct(findings(d, x, pattern, allowed))
+        swap = "replace(acc, h, '[REDACTED]')"
+        # longer findings first, so that one that holds another is replaced as a whole
+        if d.spark:
+            out = f"aggregate(array_sort({hits}, (p, q) -> CASE WHEN length(p) <> length(q) THEN length(q) - length(p) WHEN p < q THEN -1 WHEN p > q THEN 1 ELSE 0 END), {out}, (acc, h) -> {swap})"
+        else:
+            order = f"list_transform(list_sort(list_transform({hits}, lambda h: {{'n': -length(h), 'h': h}})), lambda s: s.h)"
+            out = f"list_reduce({order}, lambda acc, h: {swap}, {out})"
+    return out
 
 
 def entropy(d: Dialect, x: str) -> str:

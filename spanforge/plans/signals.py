@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from spanforge.functions.dialect import DUCK, SPARK
-from spanforge.operators import enrich, screening
+from spanforge.operators import enrich, protect, screening
 from spanforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,3 +52,11 @@ ORACLE["trace_ecosystem"] = f"SELECT row_id, {enrich.ecosystem(DUCK)} AS languag
 QUERIES["trace_dependencies"] = lambda s, d: table(s, d, "traces", _CALLS + ", dependencies array<string>").selectExpr("row_id", f"{enrich.dependencies(SPARK)} AS packages")
 ORACLE["trace_dependencies"] = f"SELECT row_id, {enrich.dependencies(DUCK)} AS packages FROM traces"
 QUERIES["trace_attribution"] = lambda s, d: enrich.attribution(table(s, d, "traces", _CALLS))
+
+_RECORD = (
+    "row_id bigint, system_prompts map<string,string>, task struct<description:string>, environment struct<vcs:struct<diff:string>>, outcome struct<description:string, patch:string>, "
+    "steps array<struct<content:string, reasoning_content:string, tool_calls:array<struct<tool_name:string, input:string>>, observations:array<struct<content:string, output_summary:string, error:string>>, snippets:array<struct<text:string>>>>, "
+    "security struct<scanned:boolean, redactions_applied:bigint>"
+)
+QUERIES["record_assessment"] = lambda s, d: protect.assessments(table(s, d, "traces", _RECORD))
+QUERIES["record_redacted"] = lambda s, d: protect.redacted(table(s, d, "traces", _RECORD)).selectExpr("row_id", "task.description AS task", "to_json(steps) AS steps", "security.redactions_applied AS n_redactions")
