@@ -36,7 +36,8 @@ class Dialect:
         return f"get({a}, CAST({i} AS int))"
 
     def flat(self, a: str, v: str, inner: str, kind: str) -> str:
-        return f"flatten(transform({a}, {v} -> coalesce({inner}, CAST(array() AS array<{kind}>))))"
+        """The inner arrays as one; ``kind`` names their type for readers, pruned structs are flattened as they are."""
+        return f"flatten(filter(transform({a}, {v} -> {inner}), inner_ -> inner_ IS NOT NULL))"
 
     def distinct(self, a: str) -> str:
         return f"array_distinct({a})"

@@ -46,7 +46,6 @@ def features(d: Dialect) -> dict[str, str]:
     plain = turns("coalesce(s.role, '') <> 'system' AND coalesce(s.call_type, '') <> 'subagent'")
     call_ids = d.distinct(d.filter(d.map(calls, "c", "coalesce(c.tool_call_id, '')"), "x", "x <> ''"))
     obs_ids = d.distinct(d.filter(d.map(seen, "o", "coalesce(o.source_call_id, '')"), "x", "x <> ''"))
-    tools = "struct<tool_call_id:string>"
     with_tools = d.filter(agents, "s", f"{d.size('s.tool_calls')} > 0")
     at = lambda kind: d.map(d.filter(d.range(d.size(s)), "i", f"{d.at('steps', 'i')}.call_type {kind}"), "i", "i")
     refs = d.distinct(d.filter(d.map(s, "s", "coalesce(s.system_prompt_hash, '')"), "x", "x <> ''"))
@@ -54,7 +53,6 @@ def features(d: Dialect) -> dict[str, str]:
     texts = d.join(
         d.map(s, "s", f"concat_ws(' ', s.content, s.reasoning_content, {d.join(d.map('s.tool_calls', 'c', chr(99) + '.input'), ' ')}, {d.join(d.map('s.observations', 'o', chr(111) + '.content'), ' ')})"), " "
     )
-    _ = tools
     return {
         "version": "coalesce(schema_version, '')",
         "id": "coalesce(trace_id, '')",
@@ -71,6 +69,7 @@ def features(d: Dialect) -> dict[str, str]:
         "branch": filled("environment.vcs.branch"),
         "n_lang": d.size("environment.language_ecosystem"),
         "n_deps": d.size("dependencies"),
+        "n_refs": d.size(refs),
         "n_prompts": d.size(prompts) if d.spark else f"coalesce(len({prompts}), 0)",
         "bad_refs": d.size(d.except_(refs, f"coalesce({prompts}, {d.empty()})")),
         "n_steps": d.size(s),
@@ -171,7 +170,7 @@ def checks() -> list[Check]:
     c("security", "C25", 0.8, yes)
     c("format", "C26", 1.0, yes)
     c("format", "C27", 0.8, yes)
-    c("format", "C28", 0.5, "bad_refs = 0")
+    c("format", "C28", 0.5, "bad_refs = 0", f"CASE WHEN n_refs = 0 THEN 1.0 ELSE {_share('(n_refs - bad_refs)', 'n_refs')} END")
     t = lambda *a, **k: add("training", *a, **k)
     ratio = f"CASE WHEN n_turns < 2 THEN 1.0 ELSE 1.0 - {_share('n_same', '(n_turns - 1)')} END"
     t("structure", "T1", 1.0, f"({ratio}) >= (CASE WHEN conv THEN 0.5 ELSE 0.9 END)", ratio)
@@ -249,20 +248,39 @@ def oracle_results() -> str:
     return f"SELECT row_id, u.* FROM (SELECT row_id, unnest([{rows}]) AS u FROM (SELECT row_id, {feats} FROM traces))"
 
 
-def persona_scores(results: DataFrame) -> DataFrame:
+PERSONAS = ("conformance", "training", "rl", "analytics", "domain")
+
+
+def _scored(traces: DataFrame, custom: list[Check] | None = None) -> DataFrame:
+    """row_id and, per persona, a struct of its score over the checks of the record; one projection, no shuffle."""
+    feats = traces.selectExpr("row_id", *[f"{x} AS {n}" for n, x in features(SPARK).items()])
+    rubric = custom or checks()
+    by = {p: [c for c in rubric if c.persona == p] for p in dict.fromkeys(c.persona for c in rubric)}
+    out = feats.selectExpr("row_id", *[f"array({', '.join(_row(SPARK, c) for c in cs)}) AS `{p}`" for p, cs in by.items()])
+
+    def total(x: str, of: str) -> str:
+        return f"aggregate({of}, CAST(0 AS double), (acc, c) -> acc + {x})"
+
+    cols = []
+    for p in by:
+        used = f"filter(`{p}`, c -> NOT c.skipped)"
+        score = f"coalesce(bround({total('c.weight * c.score', used)} / nullif({total('c.weight', used)}, 0D) * 100, 1), 0D)"
+        rate = f"coalesce(bround({total('CAST(c.passed AS double)', used)} / nullif(size({used}), 0), 3), 0D)"
+        cols.append(f"named_struct('persona', '{p}', 'total_score', {score}, 'pass_rate', {rate}, 'skipped', size({used}) = 0) AS `{p}`")
+    return out.selectExpr("row_id", *cols)
+
+
+def trace_scores(traces: DataFrame, custom: list[Check] | None = None) -> DataFrame:
     """Weighted score (0 to 100) and pass rate per trace and persona; all skipped: skipped, score 0."""
-    used = ~F.col("skipped")
-    w, ws = F.sum(F.when(used, F.col("weight"))), F.sum(F.when(used, F.col("weight") * F.col("score")))
-    return results.groupBy("row_id", "persona").agg(
-        F.coalesce(F.bround(ws / w * 100, 1), F.lit(0.0)).alias("total_score"),
-        F.coalesce(F.bround(F.avg(F.when(used, F.col("passed").cast("double"))), 3), F.lit(0.0)).alias("pass_rate"),
-        F.bool_and("skipped").alias("skipped"),
-    )
+    s = _scored(traces, custom)
+    return s.selectExpr("row_id", f"inline(array({', '.join(f'`{c}`' for c in s.columns[1:])}))")
 
 
-def utilities(scores: DataFrame) -> DataFrame:
+def trace_utilities(traces: DataFrame, custom: list[Check] | None = None) -> DataFrame:
     """Mean of the persona scores of a trace that were not skipped."""
-    return scores.groupBy("row_id").agg(F.bround(F.avg(F.when(~F.col("skipped"), F.col("total_score"))), 1).alias("overall_utility"))
+    s = _scored(traces, custom)
+    used = f"filter(array({', '.join(f'`{c}`' for c in s.columns[1:])}), p -> NOT p.skipped)"
+    return s.selectExpr("row_id", f"bround(aggregate({used}, 0D, (acc, p) -> acc + p.total_score) / nullif(size({used}), 0), 1) AS overall_utility")
 
 
 def batch_summary(scores: DataFrame) -> DataFrame:

@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from spanforge.functions.dialect import SPARK, Dialect
+from spanforge.functions.dialect import Dialect
 
 _CALL = "struct<tool_call_id:string,tool_name:string,input:string,duration_ms:bigint>"
 _OBS = "struct<source_call_id:string,content:string,output_summary:string,error:string>"
 
 
 def all_calls(d: Dialect) -> str:
-    return f"coalesce({d.flat('steps', 's', 's.tool_calls', _CALL)}, {d.empty(_CALL)})"
+    return d.flat("steps", "s", "s.tool_calls", _CALL)
 
 
 def all_observations(d: Dialect) -> str:
-    return f"coalesce({d.flat('steps', 's', 's.observations', _OBS)}, {d.empty(_OBS)})"
+    return d.flat("steps", "s", "s.observations", _OBS)
 
 
 def token_metrics(d: Dialect) -> dict[str, str]:
@@ -149,7 +149,3 @@ def project(traces: DataFrame, cols: dict[str, str], keys: tuple[str, ...] = ("r
 
 def exploded(traces: DataFrame, structs: str) -> DataFrame:
     return traces.selectExpr("row_id", f"inline({structs})")
-
-
-def spark(f) -> dict[str, str] | str:
-    return f(SPARK)

@@ -94,9 +94,11 @@ def new_hashes(traces: DataFrame) -> DataFrame:
     ok = h.rlike("^[0-9a-f]{64}$") & ~h.rlike("^(.)\\1{63}$")
     keyed = traces.select("batch_no", F.when(ok, h).alias("h"))
     first = keyed.where(F.col("h").isNotNull()).groupBy("h").agg(F.min("batch_no").alias("first_batch"))
-    joined = keyed.join(first, "h", "left")
-    known = F.col("first_batch") < F.col("batch_no")
-    return joined.groupBy("batch_no").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce(known.cast("int"), F.lit(0))).alias("n_known"))
+    # rows without a hash stay out of the join; equal hashes of a batch are one row of it
+    per = keyed.where(F.col("h").isNotNull()).groupBy("batch_no", "h").agg(F.count(F.lit(1)).alias("n"))
+    joined = per.join(first, "h").select("batch_no", "n", F.when(F.col("first_batch") < F.col("batch_no"), F.col("n")).otherwise(0).alias("known"))
+    bare = keyed.where(F.col("h").isNull()).groupBy("batch_no").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("known"))
+    return joined.unionByName(bare).groupBy("batch_no").agg(F.sum("n").alias("n_rows"), F.sum("known").alias("n_known"))
 
 
 def snapshots(events: DataFrame) -> DataFrame:
@@ -189,25 +191,17 @@ def interval_commits(sessions: DataFrame, commits: DataFrame, width_us: int = 6
     return hit.groupBy("session_id").agg(F.max_by("commit_id", F.struct("at_us", "commit_id")).alias("commit_id"), F.count(F.lit(1)).alias("n_commits"))
 
 
-def step_tree(steps: DataFrame, rounds: int = 64) -> DataFrame:
+def step_tree(traces: DataFrame) -> DataFrame:
     """(row_id, step_pos, root_pos, depth): the step hierarchy of every record.
 
-    Expects row_id, step_pos and parent_pos (null for roots).  Pointers are
-    doubled, so a chain of n steps takes log2(n) joins; steps of a cycle never
-    reach a root and become roots themselves, as do orphans.
+    A step's parent is the first step that has its ``parent_step`` as index.  The tree is resolved inside the record
+    by doubling pointers, log2(n) times over its array, so nothing is shuffled; steps whose pointers never reach a
+    root (those of a cycle and below it) and orphans are roots themselves.
     """
-    from spanforge.session import cut
-
-    up = steps.select("row_id", "step_pos", F.when(F.col("parent_pos") != F.col("step_pos"), F.col("parent_pos")).alias("up"))
-    known = cut(up.select("row_id", "step_pos", F.coalesce("up", "step_pos").alias("at"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("depth"), F.col("up").isNull().alias("done")))
-    for _ in range(rounds):
-        nxt = known.select("row_id", F.col("step_pos").alias("at"), F.col("at").alias("at2"), F.col("depth").alias("d2"), F.col("done").alias("done2"))
-        j = known.join(nxt, ["row_id", "at"], "left")
-        step = j.select("row_id", "step_pos", F.coalesce("at2", "at").alias("at"), (F.col("depth") + F.when(F.col("done"), 0).otherwise(F.coalesce("d2", F.lit(0)))).alias("depth"), (F.col("done") | F.col("done2") | F.col("at2").isNull()).alias("done"))
-        step = cut(step)
-        left = step.where(~F.col("done")).count()
-        stuck = left == known.where(~F.col("done")).count()
-        known = step
-        if left == 0 or (stuck and _ > 16):
-            break
-    return known.select("row_id", "step_pos", F.when(F.col("done"), F.col("at")).otherwise(F.col("step_pos")).alias("root_pos"), F.when(F.col("done"), F.col("depth")).otherwise(0).alias("depth"))
+    up = "transform(steps, (s, i) -> nullif(nullif(array_position(transform(steps, x -> x.step_index), s.parent_step), 0) - 1, CAST(i AS bigint)))"
+    t = traces.where("size(steps) > 0").selectExpr("row_id", f"transform({up}, u -> CAST(u AS int)) AS up")
+    start = "named_struct('at', transform(up, (u, i) -> coalesce(u, i)), 'd', transform(up, u -> if(u IS NULL, 0, 1)))"
+    twice = "named_struct('at', transform(acc.at, a -> get(acc.at, a)), 'd', transform(acc.at, (a, i) -> get(acc.d, i) + get(acc.d, a)))"
+    t = t.selectExpr("row_id", "up", f"aggregate(sequence(1, CAST(ceil(log2(size(up) + 1)) AS int) + 1), {start}, (acc, k) -> {twice}) AS w")
+    rows = "transform(w.at, (a, i) -> named_struct('step_pos', i, 'root_pos', if(get(up, a) IS NULL, a, i), 'depth', if(get(up, a) IS NULL, get(w.d, i), 0)))"
+    return t.selectExpr("row_id", f"inline({rows})")

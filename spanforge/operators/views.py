@@ -53,10 +53,10 @@ def consumer_filter(traces: DataFrame, excluded: list[str] | None = None, agent:
     return out
 
 
-def cross_rollup(rows: DataFrame, group: str, size: str, measure: str) -> DataFrame:
-    """Size-weighted mean of a measure over groups, nulls of the measure left out of its weight."""
+def cross_rollup(rows: DataFrame, group: str, size: str, measure: str, distinct: str) -> DataFrame:
+    """Size-weighted mean of a measure over groups and the distinct values of a column, nulls of the measure left out of its weight."""
     w = F.when(F.col(measure).isNotNull(), F.col(size))
-    return rows.groupBy(group).agg(F.sum(size).alias("size"), F.bround(F.sum(F.col(measure) * F.col(size)) / F.nullif(F.sum(w), F.lit(0)), 4).alias("weighted_mean"), F.countDistinct("o_custkey").alias("n_distinct"))
+    return rows.groupBy(group).agg(F.sum(size).alias("size"), F.bround(F.sum(F.col(measure) * F.col(size)) / F.nullif(F.sum(w), F.lit(0)), 4).alias("weighted_mean"), F.countDistinct(distinct).alias("n_distinct"))
 
 
 def size_bucket(n: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanforge.operators import flatten, stats
+from spanforge.operators import stats
 from spanforge.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,9 +30,7 @@ def interval_commits(s: SparkSession, d: str) -> DataFrame:
 
 
 def step_tree(s: SparkSession, d: str) -> DataFrame:
-    steps = flatten.steps_table(_t(s, d, "row_id bigint, steps array<struct<step_index:bigint, role:string, call_type:string, model:string, parent_step:bigint, content:string, timestamp:string>>"))
-    pos = F.when(F.col("parent_path") != "", F.col("parent_path").cast("int"))
-    return stats.step_tree(steps.select("row_id", "step_pos", pos.alias("parent_pos")))
+    return stats.step_tree(_t(s, d, "row_id bigint, steps array<struct<step_index:bigint, parent_step:bigint>>"))
 
 
 def upsert(s: SparkSession, d: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanforge.functions.dialect import DUCK, SPARK
 from spanforge.operators import audit, enrich, records, views
-from spanforge.sources.tables import table
+from spanforge.sources.tables import pick, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,15 +26,25 @@ def consumer(s: SparkSession, d: str) -> DataFrame:
     return views.consumer_filter(t, ["kestrel/atlas"], model_part="LOOM").select("row_id")
 
 
+_FIELDS = (
+    "task agent environment.os environment.shell environment.vcs environment.language_ecosystem security.classifier_version content_hash execution_context outcome.success metrics dependencies attribution.files.path "
+    "tool_definitions steps.role steps.call_type steps.model steps.system_prompt_hash steps.timestamp steps.content steps.reasoning_content steps.token_usage steps.parent_step steps.tool_calls.tool_name steps.tool_calls.duration_ms"
+)
+
+
+def _audited(s: SparkSession, d: str) -> DataFrame:
+    return pick(s, d, "traces", _FIELDS)
+
+
 QUERIES: dict[str, Query] = {
-    "audit_population": lambda s, d: audit.population(table(s, d, "traces")),
-    "audit_gaps": lambda s, d: audit.audit(table(s, d, "traces"), table(s, d, "field_specs")).select("path", "population_rate", "classification"),
-    "audit_by_persona": lambda s, d: audit.gaps(audit.audit(table(s, d, "traces"), table(s, d, "field_specs"))),
-    "view_sessions": lambda s, d: records.project(table(s, d, "traces"), views.session_view(SPARK)),
-    "view_calls": lambda s, d: enrich.calls(table(s, d, "traces"), f"{views.primary_argument(SPARK, 'tool_name', 'input')} AS argument"),
+    "audit_population": lambda s, d: audit.population(_audited(s, d)),
+    "audit_gaps": lambda s, d: audit.audit(_audited(s, d), table(s, d, "field_specs")).select("path", "population_rate", "classification"),
+    "audit_by_persona": lambda s, d: audit.gaps(audit.audit(_audited(s, d), table(s, d, "field_specs"))),
+    "view_sessions": lambda s, d: records.project(pick(s, d, "traces", "row_id task.description agent.model metrics"), views.session_view(SPARK)),
+    "view_calls": lambda s, d: enrich.calls(pick(s, d, "traces", "row_id steps.tool_calls steps.observations"), f"{views.primary_argument(SPARK, 'tool_name', 'input')} AS argument"),
     "view_documents": lambda s, d: table(s, d, "documents").selectExpr("doc_id", f"{views.clean(SPARK, 'text')} AS cleaned", f"{views.first_line(SPARK, 'text')} AS title"),
     "filter_consumer": consumer,
-    "rollup_orders": lambda s, d: views.cross_rollup(table(s, d, "orders").withColumn("m", F.when(F.col("o_orderstatus") != "P", F.length("o_orderpriority").cast("double"))), "o_orderpriority", "o_totalprice", "m").select(
+    "rollup_orders": lambda s, d: views.cross_rollup(table(s, d, "orders").withColumn("m", F.when(F.col("o_orderstatus") != "P", F.length("o_orderpriority").cast("double"))), "o_orderpriority", "o_totalprice", "m", "o_custkey").select(
         "o_orderpriority", F.bround("size", 2).alias("size"), "weighted_mean", "n_distinct"
     ),
     "card_sizes": lambda s, d: table(s, d, "traces", "task struct<repository:string>").groupBy(F.col("task.repository").alias("repository")).agg(F.count(F.lit(1)).alias("n")).selectExpr("repository", "n", f"{views.size_bucket('n')} AS size"),

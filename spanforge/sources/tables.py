@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: The parts of a trace record that single operators need.  Lambdas over nested
 #: arrays keep Catalyst from pruning nested fields, so the reader is told.
@@ -24,3 +25,22 @@ def table(spark: SparkSession, folder: str, name: str, schema: str | None = None
     """
     reader = spark.read.schema(schema) if schema else spark.read
     return reader.parquet(f"{folder}/{name}.parquet")
+
+
+def _keep(t: T.DataType, paths: list[str]) -> T.DataType:
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_keep(t.elementType, paths), t.containsNull)
+    if not isinstance(t, T.StructType) or "" in paths:
+        return t
+    fields = []
+    for f in t.fields:
+        inner = [p.partition(".")[2] for p in paths if p.partition(".")[0] == f.name]
+        if inner:
+            fields.append(T.StructField(f.name, _keep(f.dataType, inner), f.nullable))
+    return T.StructType(fields)
+
+
+def pick(spark: SparkSession, folder: str, name: str, paths: str) -> DataFrame:
+    """A table with no more than the given dotted paths (separated by blanks); a path to a struct takes all of it."""
+    whole = table(spark, folder, name)
+    return spark.read.schema(_keep(whole.schema, paths.split())).parquet(f"{folder}/{name}.parquet")

@@ -42,18 +42,19 @@ def test_quality_of_good_and_empty_records(make_traces):
     assert res.count() == 2 * 62
     score = {(r.row_id, r.check_name): (r.passed, r.score) for r in res.collect()}
     assert score[(1, "C8")] == (True, 1.0) and score[(1, "T1")] == (True, 1.0) and score[(2, "C6")] == (False, 0.0)
-    s = {(r.row_id, r.persona): r.total_score for r in quality.persona_scores(res).collect()}
+    s = {(r.row_id, r.persona): r.total_score for r in quality.trace_scores(make_traces([good, {"row_id": 2}])).collect()}
     assert all(s[(1, p)] > s[(2, p)] for p in ("conformance", "training", "analytics"))
     custom = [quality.Check("X", "mine", "c", 1.0, "n_steps = 0", "n_steps > 1", "1.0")]
-    got = {r.row_id: (r.total_score, r.skipped) for r in quality.persona_scores(quality.check_results(make_traces([good, {"row_id": 2}]), custom)).collect()}
+    got = {r.row_id: (r.total_score, r.skipped) for r in quality.trace_scores(make_traces([good, {"row_id": 2}]), custom).collect()}
     assert got == {1: (100.0, False), 2: (0.0, True)}
 
 
-def test_step_tree_orphans_and_cycles(spark):
-    rows = [(1, 0, None), (1, 1, 0), (1, 2, 1), (1, 3, 9), (2, 0, 1), (2, 1, 0), (3, 0, 0)] + [(4, i, i - 1 if i else None) for i in range(100)]
-    got = {(r.row_id, r.step_pos): (r.root_pos, r.depth) for r in stats.step_tree(spark.createDataFrame(rows, "row_id bigint, step_pos int, parent_pos int")).collect()}
-    assert got[(1, 2)] == (0, 2) and got[(2, 0)] == (0, 0) and got[(2, 1)] == (1, 0) and got[(3, 0)] == (0, 0) and got[(4, 99)] == (0, 99)
-    assert len(got) == len(rows)
+def test_step_tree_orphans_and_cycles(make_traces):
+    step = lambda i, up: {"step_index": i, "parent_step": up}
+    chain = {"row_id": 1, "steps": [step(0, None), *[step(i, i - 1) for i in range(1, 40)], step(50, 99), step(60, 60), None]}
+    cycle = {"row_id": 2, "steps": [step(1, 2), step(2, 1), step(3, 2), step(4, None), step(5, 4)]}
+    got = {(r.row_id, r.step_pos): (r.root_pos, r.depth) for r in stats.step_tree(make_traces([chain, cycle, {"row_id": 3}, {"row_id": 4, "steps": []}])).collect()}
+    assert got == {(1, i): (0, i) for i in range(40)} | {(1, 40): (40, 0), (1, 41): (41, 0), (1, 42): (42, 0)} | {(2, 0): (0, 0), (2, 1): (1, 0), (2, 2): (2, 0), (2, 3): (3, 0), (2, 4): (3, 1)}
 
 
 def test_interval_join_against_brute_force(spark):
