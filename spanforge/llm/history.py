@@ -152,26 +152,38 @@ def postings(records: DataFrame, order: DataFrame) -> DataFrame:
     return records.select("row_id", "words").mapInArrow(post, _POSTING)
 
 
-def _meetings(ids: np.ndarray, n: np.ndarray, reach: np.ndarray, new: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of one list, sorted by n, with at least one new text, that length and sketch let pass."""
+#: pairs that are compared at once
+CHUNK = 1 << 15
+
+
+def _meetings(lists: np.ndarray, ids: np.ndarray, n: np.ndarray, reach: np.ndarray, new: np.ndarray, sketch: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows of one list with at least one new text, that length and sketch let pass; rows are sorted by (list, n)."""
     at = np.arange(len(n))
-    hi = np.searchsorted(n, reach, side="right")
+    hi = np.searchsorted((lists << 32) + n, (lists << 32) + reach, side="right")
     fresh = np.concatenate([[0], np.cumsum(new)])
-    busy = (hi > at + 1) & (new | (fresh[np.maximum(hi, at + 1)] > fresh[at + 1]))
+    count = np.where((hi > at + 1) & (new | (fresh[np.maximum(hi, at + 1)] > fresh[at + 1])), hi - at - 1, 0)
     spare = n - 2 * needed(n)
-    rows = np.ascontiguousarray(sketch.T)
-    for i in np.nonzero(busy)[0]:
-        j = slice(i + 1, hi[i])
-        differ = np.bitwise_count(rows[:, j] ^ rows[:, i : i + 1]).sum(0, dtype=np.int32)
-        ok = differ <= n[i] + spare[j]
-        if not new[i]:
-            ok &= new[j]
-        k = np.nonzero(ok)[0] + i + 1
-        k = k[ids[k] != ids[i]]
-        if len(k):
-            # an accepted text is the earlier one, else the lower row_id
-            swap = np.where(new[k] == new[i], ids[k] < ids[i], new[i])
-            yield np.where(swap, ids[k], ids[i]), np.where(swap, ids[i], ids[k]), new[k] != new[i]
+    upto = np.cumsum(count)
+    parts = list(np.ascontiguousarray(sketch.T))
+    lo = 0
+    while lo < len(n) and upto[-1] > (upto[lo - 1] if lo else 0):
+        end = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, side="right")))
+        c = count[lo:end]
+        i = np.repeat(at[lo:end], c)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        lo = end
+        ok = (new[i] | new[j]) & (ids[i] != ids[j])
+        i, j = i[ok], j[ok]
+        room = n[i] + spare[j]
+        for half in (parts[:3], parts[3:]):  # most pairs fail on the first bits
+            for p in half:
+                room -= np.bitwise_count(p[i] ^ p[j])
+            ok = np.flatnonzero(room >= 0)
+            i, j, room = i[ok], j[ok], room[ok]
+        # an accepted text is the earlier one, else the lower row_id
+        swap = np.where(new[j] == new[i], ids[j] < ids[i], new[i])
+        pairs = np.unique(np.stack([np.where(swap, ids[j], ids[i]), np.where(swap, ids[i], ids[j]), new[i] != new[j]]), axis=1) if len(i) else np.empty((3, 0), np.int64)
+        yield pairs[0], pairs[1], pairs[2].astype(bool)
 
 
 def candidates(posts: DataFrame) -> DataFrame:
@@ -186,35 +198,48 @@ def candidates(posts: DataFrame) -> DataFrame:
     lists = lists.select(*key, "n", "row_id", "reach", "new", "sketch").repartition(*key).sortWithinPartitions(*key, "n")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        last = None
+        held: list[np.ndarray] | None = None  # the rows of the last list, which may go on
 
-        def pairs() -> Iterator[pa.RecordBatch]:
-            cols = held[0] if len(held) == 1 else [np.concatenate(x) for x in zip(*held, strict=True)]
-            met = list(_meetings(*cols)) if len(cols[0]) > 1 else []
-            if met:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*met, strict=True)], names=["a", "b", "old"])
+        def pairs(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for x in _meetings(*cols):
+                if len(x[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in x], names=["a", "b", "old"])
 
+        key: tuple | None = None
         for b in batches:
             if not b.num_rows:
                 continue
             token, lo, hi, n, ids, reach, new = (b.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-            n, reach = n.astype(np.int64), reach.astype(np.int64)
             sketch = np.frombuffer(b"".join(b.column(7).to_pylist()), np.uint64).reshape(-1, 8)
-            turn = np.nonzero((token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1]))[0] + 1
-            for s, e in zip([0, *turn], [*turn, len(token)], strict=True):
-                this = (token[s], lo[s], hi[s])
-                if this != last and held:
-                    yield from pairs()
-                    held = []
-                last = this
-                held.append([x[s:e] for x in (ids, n, reach, new, sketch)])
-        if held:
-            yield from pairs()
+            turn = np.concatenate([[(token[0], lo[0], hi[0]) != key], (token[1:] != token[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+            key = (token[-1], lo[-1], hi[-1])
+            cols = [np.cumsum(turn), ids, n.astype(np.int64), reach.astype(np.int64), new, sketch]
+            if held is not None:
+                held[0][:] = 0
+                cols = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield from pairs([c[:last] for c in cols])
+            held = [c[last:].copy() for c in cols]
+        if held is not None:
+            yield from pairs(held)
 
     return lists.mapInArrow(meet, "a bigint, b bigint, old boolean").distinct()
 
 
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether four fifths of the longer's words are common, in order; what both begin and end with is not compared word by word."""
+    need, m = needed(max(len(a), len(b))), min(len(a), len(b))
+    if m < need:
+        return False
+    differ = np.flatnonzero(a[:m] != b[:m])
+    head = int(differ[0]) if len(differ) else m
+    if head >= need or m - len(differ) >= need:  # word by word in the same places
+        return True
+    differ = np.flatnonzero(a[head:][::-1][: m - head] != b[head:][::-1][: m - head])
+    tail = int(differ[0]) if len(differ) else m - head
+    return head + tail + common_subsequence(a[head : len(a) - tail].tolist(), b[head : len(b) - tail].tolist()) >= need
+
+
 def verify(pairs: DataFrame, earlier: DataFrame, records: DataFrame) -> DataFrame:
     """The pairs of which four fifths of the longer's words are common, in order; a is of ``earlier``, b of ``records``."""
     left = earlier.select(F.col("row_id").alias("a"), F.col("words").alias("wa"))
@@ -224,8 +249,8 @@ def verify(pairs: DataFrame, earlier: DataFrame, records: DataFrame) -> DataFram
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             keep_a, keep_b = [], []
-            for a, b, wa, wb in zip(*(t.column(i).to_pylist() for i in range(4)), strict=True):
-                if common_subsequence(wa, wb) >= SIMILARITY * max(len(wa), len(wb)) - 1e-9:
+            for a, b, wa, wb in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), _texts(t, 2), _texts(t, 3), strict=True):
+                if alike(wa, wb):
                     keep_a.append(a)
                     keep_b.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(keep_a, pa.int64()), pa.array(keep_b, pa.int64())], names=["a", "b"])
