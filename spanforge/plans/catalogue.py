@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from spanforge.plans import general, ingest, records, signals, stats, views
+from spanforge.plans import general, ingest, records, reports, signals, stats, views
 
 FLAGSHIP = "quality_scores"
-QUERIES = {**general.QUERIES, **records.QUERIES, **stats.QUERIES, **signals.QUERIES, **ingest.QUERIES, **views.QUERIES}
-ORACLE = {**general.ORACLE, **records.ORACLE, **stats.ORACLE, **signals.ORACLE, **ingest.ORACLE, **views.ORACLE}
+QUERIES = {**general.QUERIES, **records.QUERIES, **stats.QUERIES, **signals.QUERIES, **ingest.QUERIES, **views.QUERIES, **reports.QUERIES}
+ORACLE = {**general.ORACLE, **records.ORACLE, **stats.ORACLE, **signals.ORACLE, **ingest.ORACLE, **views.ORACLE, **reports.ORACLE}

@@ -19,23 +19,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+SUMMARY_CHARS = 200
 _THINK = re.compile(r"<think>(.*?)</think>", re.S)
 _CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 _RESPONSE = re.compile(r"<tool_response>(.*?)</tool_response>", re.S)
 # Names of roles and tools in other datasets.
 ROLES = {"human": "user", "user": "user", "gpt": "agent", "assistant": "agent", "system": "system", "tool": "tool", "function": "tool"}
-TOOLS = {"terminal": "Bash", "bash": "Bash", "read_file": "Read", "write_file": "Write", "patch": "Edit", "edit_file": "Edit", "search_files": "Grep", "web_search": "WebSearch"}
+TOOLS = {"terminal": "Bash", "write_file": "Write", "read_file": "Read", "patch": "Edit", "search_files": "Grep", "execute_code": "Bash", "process": "Bash"}
+# Names of arguments, by the tool's name in the dataset.
+ARGUMENTS = {"patch": {"path": "file_path", "original": "old_string", "replacement": "new_string"}, "write_file": {"path": "file_path"}, "read_file": {"path": "file_path"}}
 
-STEP = "row_key string, step_index bigint, role string, content string, reasoning_content string, system_prompt_hash string, calls array<struct<tool_call_id:string, tool_name:string, input:string>>, observations array<struct<source_call_id:string, content:string, error:string>>"
-
-
-def thoughts(text: Column) -> Column:
-    """Thinking blocks joined by a space, blank ones dropped."""
-    return F.array_join(F.filter(F.transform(F.regexp_extract_all(text, F.lit(r"(?s)<think>(.*?)</think>"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != ""), " ")
-
-
-def without_tags(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"(?s)<(think|tool_call|tool_response)>.*?</\1>", ""))
+STEP = "row_key string, step_index bigint, role string, content string, reasoning_content string, system_prompt_hash string, calls array<struct<tool_call_id:string, tool_name:string, input:string>>, observations array<struct<source_call_id:string, content:string, output_summary:string, error:string>>, n_malformed int"
 
 
 def _call(raw: str, step: int, i: int) -> dict | None:
@@ -51,6 +45,9 @@ def _call(raw: str, step: int, i: int) -> dict | None:
             args = json.loads(args)
         except ValueError:
             args = {"raw": args}
+    if isinstance(args, dict):
+        renamed = ARGUMENTS.get(o["name"], {})
+        args = {renamed.get(k, k): v for k, v in args.items()}
     return {"tool_call_id": str(o.get("id") or f"tc_{step}_{i}"), "tool_name": TOOLS.get(o["name"], o["name"]), "input": json.dumps(args, sort_keys=True)}
 
 
@@ -87,13 +84,15 @@ def fold_turns(turns: list[tuple[str | None, str | None]]) -> list[dict]:
                             a["source_call_id"] = agent["calls"][taken + k]["tool_call_id"]
                         else:
                             a["error"] = "unlinked_response"
+                    a["output_summary"] = a["content"] if len(a["content"]) <= SUMMARY_CHARS else a["content"][:SUMMARY_CHARS] + "..."
                 agent["observations"] += answers
             continue
         n = len(steps)
-        calls = [c for i, m in enumerate(_CALL.findall(text)) if (c := _call(m.strip(), n, i))] if role == "agent" else []
+        raw = _CALL.findall(text) if role == "agent" else []
+        calls = [c for i, m in enumerate(raw) if (c := _call(m.strip(), n, i))]
         plain = _RESPONSE.sub("", _CALL.sub("", _THINK.sub("", text))).strip()
         think = " ".join(t.strip() for t in _THINK.findall(text) if t.strip())
-        steps.append({"step_index": n, "role": role, "content": plain, "reasoning_content": think or None, "system_prompt_hash": prompt if role == "agent" else None, "calls": calls, "observations": []})
+        steps.append({"step_index": n, "role": role, "content": plain, "reasoning_content": think or None, "system_prompt_hash": prompt if role == "agent" else None, "calls": calls, "observations": [], "n_malformed": len(raw) - len(calls)})
     return steps
 
 
@@ -109,7 +108,7 @@ def conversation_steps(rows: DataFrame, key: str = "row_key", turns: str = "conv
             for k, ts in zip(pdf["k"], pdf["turns"], strict=True):
                 if ts is not None:
                     out += [{"row_key": k, **s} for s in fold_turns([(t["r"], t["t"]) for t in ts if t is not None])]
-            yield pd.DataFrame(out, columns=["row_key", "step_index", "role", "content", "reasoning_content", "system_prompt_hash", "calls", "observations"])
+            yield pd.DataFrame(out, columns=["row_key", "step_index", "role", "content", "reasoning_content", "system_prompt_hash", "calls", "observations", "n_malformed"])
 
     return src.mapInPandas(fold, STEP)
 

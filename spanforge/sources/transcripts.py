@@ -21,29 +21,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from spanforge.session import cut
+
 MAX_BAD = 0.05
 MAX_DEPTH = 10
 OBSERVATION_CHARS, SUMMARY_CHARS = 10_000, 200
 
 EVENT = (
     "type string, subtype string, sessionId string, timestamp string, version string, cwd string, gitBranch string, slug string, isMeta boolean, toolUseResult string, message string, "
-    "model string, permissionMode string, stop_reason string, total_cost_usd double, duration_ms bigint, event string, data string, _bad string"
+    "description string, model string, permissionMode string, stop_reason string, total_cost_usd double, duration_ms bigint, event string, data string, _bad string"
 )
 MESSAGE = "role string, model string, content string, usage struct<input_tokens:bigint, output_tokens:bigint, cache_read_input_tokens:bigint, cache_creation_input_tokens:bigint>"
 BLOCKS = "array<struct<type:string, text:string, thinking:string, signature:string, id:string, name:string, input:string, tool_use_id:string, content:string, is_error:boolean>>"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, raw) of every line that is not blank."""
+    """(file, line_no, raw) of every line; blank ones count for the share of bad lines and are dropped after it."""
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", r"\r\n|\n|\r")).alias("line_no", "raw"))
-    return lines.where(F.trim("raw") != "")
+    # the end of the last line begins no further one
+    return files.select("file", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r\n|\n|\r")).alias("line_no", "raw"))
 
 
 def events(lines: DataFrame) -> DataFrame:
     """Parsed events; ``bad`` marks lines that are no JSON object."""
     e = F.from_json("raw", EVENT, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
-    bad = F.col("e").isNull() | F.col("e._bad").isNotNull() | ~F.trim("raw").startswith("{")
+    bad = (F.trim("raw") != "") & (F.col("e").isNull() | F.col("e._bad").isNotNull() | ~F.trim("raw").startswith("{"))
     return lines.withColumn("e", e).withColumn("bad", bad)
 
 
@@ -109,18 +111,79 @@ def steps(msgs: DataFrame) -> DataFrame:
     return out.select("*", F.transform("x", lambda v: v["call"]).alias("tool_calls"), F.transform("x", lambda v: v["obs"]).alias("observations")).drop("x")
 
 
+# Role of a sub-agent by its type.
+AGENT_ROLES = {"Explore": "explore", "Plan": "plan", "general-purpose": "general"}
+SNIPPET_CHARS, GREP_FILES = 5000, 10
+
+
+def snippets(calls: DataFrame, language) -> DataFrame:
+    """Code that calls read, wrote or found, of rows with tool_name, input, content and raw (the result's own fields).
+
+    Adds a row per snippet: file_path, start_line, end_line, language, text.  A Read starts at its offset (1 if it has
+    none, unknown if that is no number above 0), a Write at line 1; an Edit has no lines; a Grep names its first files.
+    """
+    arg = lambda k: F.get_json_object("input", f"$.{k}")
+    path, n = arg("file_path"), lambda t: F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1
+    offset = F.when(arg("offset").isNull(), 1).when(arg("offset").try_cast("double") >= 1, arg("offset").try_cast("double").cast("int"))
+    none = F.lit(None).cast("int")
+    one = lambda text, start, end: F.array(F.struct(path.alias("file_path"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.left(text, F.lit(SNIPPET_CHARS)).alias("text")))
+    found = F.slice(F.from_json(F.get_json_object("raw", "$.matches"), "array<struct<file_path:string, path:string>>"), 1, GREP_FILES)
+    files = F.filter(F.transform(found, lambda m: F.struct(F.coalesce(m["file_path"], m["path"]).alias("file_path"), none.alias("start_line"), none.alias("end_line"), F.lit(None).cast("string").alias("text"))), lambda m: m["file_path"].isNotNull())
+    said = lambda k: (F.coalesce(path, F.lit("")) != "") & (F.coalesce(k, F.lit("")) != "")
+    rows = (
+        F.when((F.col("tool_name") == "Read") & said(F.col("content")), one(F.col("content"), offset, offset + n(F.col("content")) - 1))
+        .when((F.col("tool_name") == "Edit") & said(arg("new_string")), one(arg("new_string"), none, none))
+        .when((F.col("tool_name") == "Write") & said(arg("content")), one(arg("content"), F.lit(1), n(arg("content"))))
+        .when(F.col("tool_name") == "Grep", files)
+    )
+    keep = [c for c in calls.columns if c not in ("input", "content", "raw")]
+    return calls.select(*keep, F.inline(rows)).withColumn("language", language(F.col("file_path")))
+
+
+def outcome(stop_reason: Column) -> Column:
+    """A session's outcome by why it stopped: an error is a failure, all else leaves success open; both are inferred."""
+    known = stop_reason.isNotNull()
+    return F.struct(
+        F.when(stop_reason.isin("error_during_execution", "error_max_turns", "error_max_budget_usd", "error_max_structured_output_retries"), False).alias("success"),
+        F.when(known, "result_message").alias("signal_source"), F.when(known, "inferred").otherwise("derived").alias("signal_confidence"), stop_reason.alias("description"),
+    )
+
+
+def version_control(branch: Column, sha: Column) -> Column:
+    """git where a branch or a commit is known; HEAD is no branch's name."""
+    git = (F.coalesce(branch, F.lit("")) != "") | (F.coalesce(sha, F.lit("")) != "")
+    return F.struct(F.when(git, "git").otherwise("none").alias("type"), F.when(git, F.nullif(F.nullif(branch, F.lit("HEAD")), F.lit(""))).alias("branch"), F.nullif(sha, F.lit("")).alias("base_commit"))
+
+
+def subagent_edges(own: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, line_no, call_id, child, agent_role): the sub-agent file that each Task call started.
+
+    ``files``(child, file, description): the sub-agents of a session with the description that their meta file gives.
+    A call goes to the file of its description, else to the session's first file; the description is part of the
+    join's key, so calls and files of a session are not paired with each other.
+    """
+    calls = own.select("file", "line_no", F.explode("tool_calls").alias("c")).where(F.col("c.tool_name").isin("Task", "Agent"))
+    kind = F.coalesce(F.get_json_object("c.input", "$.subagent_type"), F.lit("general"))
+    role = F.coalesce(F.create_map(*[F.lit(x) for kv in AGENT_ROLES.items() for x in kv])[kind], F.lower(kind))
+    calls = calls.select("file", "line_no", F.col("c.tool_call_id").alias("call_id"), F.coalesce(F.get_json_object("c.input", "$.description"), F.lit("")).alias("description"), role.alias("agent_role"))
+    named = files.where(F.col("description").isNotNull()).groupBy("file", "description").agg(F.min("child").alias("named"))
+    first = files.groupBy("file").agg(F.min("child").alias("first"))
+    j = calls.join(named, ["file", "description"], "left").join(first, "file")
+    return j.select("file", "line_no", "call_id", F.coalesce("named", "first").alias("child"), "agent_role")
+
+
 def inline_subagents(own: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """All steps of each root session with its sub-agents' steps before the step that calls them.
 
-    ``edges``(file, call_id, child): the file that a call of ``file`` started.
-    Adds session, order_key and depth.
+    ``edges``(file, line_no, call_id, child, agent_role): the file that a call of ``file`` started.
+    Adds session, order_key, depth, agent_role and parent_key (the order key of the calling step, null for own steps).
     """
-    frames = roots.select(F.col("file").alias("session"), "file", F.expr("CAST(array() AS array<int>)").alias("prefix"), F.array("file").alias("seen"), F.lit(0).alias("depth"))
-    calls = own.select("file", "line_no", F.explode("tool_calls").alias("c")).select("file", "line_no", F.col("c.tool_call_id").alias("call_id")).join(edges, ["file", "call_id"])
+    frames = roots.select(F.col("file").alias("session"), "file", F.expr("CAST(array() AS array<int>)").alias("prefix"), F.array("file").alias("seen"), F.lit(0).alias("depth"), F.lit("main").alias("agent_role"), F.expr("CAST(NULL AS array<int>)").alias("parent_key"))
+    calls = edges.select("file", "line_no", "child", F.col("agent_role").alias("role_of_child")).distinct()
     out = frames
     for _ in range(MAX_DEPTH):
         nxt = frames.join(calls, "file").where(~F.array_contains("seen", F.col("child")))
-        frames = nxt.select("session", F.col("child").alias("file"), F.concat("prefix", F.array("line_no", F.lit(0))).alias("prefix"), F.concat("seen", F.array("child")).alias("seen"), (F.col("depth") + 1).alias("depth"))
+        frames = nxt.select("session", F.col("child").alias("file"), F.concat("prefix", F.array("line_no", F.lit(0))).alias("prefix"), F.concat("seen", F.array("child")).alias("seen"), (F.col("depth") + 1).alias("depth"), F.col("role_of_child").alias("agent_role"), F.concat("prefix", F.array("line_no", F.lit(1))).alias("parent_key"))
         if frames.isEmpty():
             break
         out = out.unionByName(frames)
@@ -131,25 +194,30 @@ def inline_subagents(own: DataFrame, edges: DataFrame, roots: DataFrame) -> Data
 def renumber(all_steps: DataFrame) -> DataFrame:
     """Steps numbered 1..n within their session by order of emission."""
     w = W.Window.partitionBy("session").orderBy("order_key", "file")
-    return all_steps.withColumn("step_index", F.row_number().over(w).cast("bigint"))
+    out = all_steps.withColumn("step_index", F.row_number().over(w).cast("bigint"))
+    if "parent_key" not in out.columns:
+        return out
+    up = out.groupBy("session", F.col("order_key").alias("parent_key")).agg(F.min("step_index").alias("parent_step"))
+    return out.join(up, ["session", "parent_key"], "left")
 
 
 def sessions(parsed: DataFrame) -> DataFrame:
     """Session metadata by order of lines: first values, last values, first task, first and last time."""
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
-    flat = parsed.where(~F.col("bad")).select("file", "line_no", "e.*").withColumn("m", F.from_json("message", MESSAGE))
+    flat = parsed.where(~F.col("bad")).select("file", "line_no", "e.*").withColumn("m", F.from_json("message", MESSAGE)).withColumn("sha", F.when(F.col("event") == "Stop", F.get_json_object("data", "$.git.sha")))
     flat = flat.withColumn("said", F.when((F.col("type") == "user") & ~F.col("m.content").startswith("["), F.left("m.content", F.lit(500)))).withColumn("any_model", F.coalesce("model", "m.model"))
     return flat.groupBy("file").agg(
         first("sessionId").alias("session_id"), first("slug").alias("slug"), first("version").alias("version"), first("any_model").alias("model"), first("cwd").alias("cwd"), first("gitBranch").alias("branch"),
         last("permissionMode").alias("permission_mode"), last("stop_reason").alias("stop_reason"), last("total_cost_usd").alias("cost_usd"), first("said").alias("task"),
         first("timestamp").alias("timestamp_start"), last("timestamp").alias("timestamp_end"), F.count(F.lit(1)).alias("n_events"),
         F.count_if((F.col("type") == "system") & (F.col("subtype") == "compact_boundary")).alias("n_compactions"), F.count_if(F.col("event") == "Stop").alias("n_stops"),
-    )
+        F.max_by("sha", F.when(F.col("sha").isNotNull(), F.col("line_no"))).alias("sha"),
+    ).withColumns({"os": operating_system(F.col("cwd")), "vcs": version_control(F.col("branch"), F.col("sha")), "outcome": outcome(F.col("stop_reason"))})
 
 
 def operating_system(cwd: Column) -> Column:
-    return F.when(cwd.startswith("/Users/"), "darwin").when(cwd.startswith("/home/") | cwd.startswith("/root"), "linux").when(cwd.rlike(r"^[A-Za-z]:\\"), "windows")
+    return F.when(cwd.startswith("/Users/"), "darwin").when(cwd.startswith("/home/") | cwd.startswith("/root/"), "linux").when(cwd.rlike(r"^.:[/\\\\]"), "windows")
 
 
 def raw_counters(parsed: DataFrame) -> DataFrame:
@@ -181,11 +249,13 @@ def preservation(raw: DataFrame, built: DataFrame) -> DataFrame:
 def parse(spark: SparkSession, path: str) -> DataFrame:
     """Steps of all sessions under ``path``: rejected files left out, sub-agent files inlined, renumbered."""
     parsed = events(read_lines(spark, path))
-    parsed = parsed.join(rejected_files(parsed).select("file"), "file", "left_anti")
-    own = steps(messages(parsed))
+    # parsed once: files and their steps are used several times below
+    parsed = cut(parsed.join(rejected_files(parsed).select("file"), "file", "left_anti").where(F.trim("raw") != ""))
+    own = cut(steps(messages(parsed)))
     child = parsed.select("file").distinct().where(F.col("file").contains("/subagents/"))
-    child = child.select(F.col("file").alias("child"), F.regexp_replace("file", r"/subagents/[^/]+$", ".jsonl").alias("file"), F.regexp_extract("file", r"/subagents/([^/]+)\.jsonl$", 1).alias("stem"))
-    calls = own.select("file", F.explode("tool_calls").alias("c")).select("file", F.col("c.tool_call_id").alias("call_id"))
-    edges = calls.join(child, "file").where(F.col("stem").contains(F.col("call_id"))).select("file", "call_id", "child")
+    meta = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.meta.json").select(F.regexp_replace(F.col("_metadata.file_path"), r"\.meta\.json$", ".jsonl").alias("child"), F.get_json_object("value", "$.description").alias("description"))
+    # sub-agents of sub-agents lie in the folder of the session they belong to
+    child = child.select(F.col("file").alias("child"), F.regexp_replace("file", r"/subagents/[^/]+$", ".jsonl").alias("file")).join(meta, "child", "left")
+    edges = subagent_edges(own, child)
     roots = parsed.select("file").distinct().where(~F.col("file").contains("/subagents/"))
     return renumber(inline_subagents(own, edges, roots))
