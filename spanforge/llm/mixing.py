@@ -6,8 +6,8 @@ its documents in the order of the keys until its token budget is used.  A source
 whose budget exceeds its tokens is repeated: complete epochs first, then a
 fractional one by the keys.
 
-The prefix sums are distributed: keys are cut into ``CELLS`` cells per source,
-the tokens per (source, cell) are summed before the shuffle, cells are summed up
+The prefix sums are distributed: the keys of a source are cut at their quantiles
+into ``CELLS`` cells of like size, whatever its documents' weights; the tokens per (source, cell) are summed before the shuffle, cells are summed up
 along each source (a table of sources x cells), and only the order inside a cell
 is settled by a sort, so a source with a third of all documents is spread over
 all tasks.
@@ -37,7 +37,10 @@ from pyspark.sql import window as W
 from spanforge.llm.tokens import TOKENIZER, TOKENIZER_DIR, load
 from spanforge.session import cut
 
-CELLS = 4096
+#: cells of a source; a power of two
+CELLS = 1024
+#: a larger table of sources is not broadcast but joined by its keys
+BROADCAST_BYTES = 16 << 20
 SEED = 17
 
 
@@ -99,10 +102,20 @@ def plan(sized: DataFrame, targets: DataFrame, total_tokens: int | None = None)
     return t.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens_available"))
 
 
+def in_cells(sized: DataFrame, planned: DataFrame) -> DataFrame:
+    """The documents of the sources with a budget, with epochs, rest and the cell of their key."""
+    # one row per source with a target: its budget and the quantiles of its keys
+    bounds = sized.groupBy("source").agg(F.percentile_approx("key", F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)]), 10 * CELLS).alias("bounds"))
+    per = cut(planned.where(F.col("budget") > 0).select("source", "epochs", "rest").join(bounds, "source"))
+    small = per.count() * 8 * CELLS <= BROADCAST_BYTES
+    docs = sized.join(F.broadcast(per) if small else per, "source")
+    # the cell is the number of bounds below the key, found by halving
+    return docs.withColumn("cell", F.aggregate(F.array(*[F.lit(1 << k) for k in reversed(range(CELLS.bit_length() - 1))]), F.lit(0), lambda at, step: F.when(F.coalesce(F.get("bounds", at + step - 1) < F.col("key"), F.lit(False)), at + step).otherwise(at))).drop("bounds")
+
+
 def mixture(sized: DataFrame, planned: DataFrame) -> DataFrame:
     """(doc_id, source, n_tokens, repeats): the documents used and how often."""
-    cell = F.least(F.lit(CELLS - 1), F.floor((1 - F.exp(-F.col("key"))) * CELLS)).cast("int")
-    docs = sized.join(F.broadcast(planned.where(F.col("budget") > 0).select("source", "epochs", "rest")), "source").withColumn("cell", cell)
+    docs = in_cells(sized, planned)
     cells = docs.groupBy("source", "cell").agg(F.sum("n_tokens").alias("t"))
     along = W.Window.partitionBy("source").orderBy("cell").rowsBetween(W.Window.unboundedPreceding, -1)
     before = cells.select("source", "cell", F.coalesce(F.sum("t").over(along), F.lit(0)).alias("before"))

@@ -55,3 +55,18 @@ def test_empty_and_nulls(spark, docs):
     assert run(spark, docs, []) == ({}, [])
     s, rows = run(spark, docs, [(None, 0.5, 1, 1), ("big", None, None, 1), ("small", 0.5, None, 1)])
     assert {r.source for r in rows} == {"small"} and s["big"].note == "no target"
+
+
+def test_cells_are_of_like_size_for_low_weights(spark, monkeypatch):
+    """Short and symbol-ridden texts have low weights and so large keys; their source is still spread over the cells."""
+    monkeypatch.setattr(mixing, "CELLS", 64)
+    docs = spark.createDataFrame([(i, f"{i}#", "low") for i in range(6400)], "doc_id bigint, text string, source string")
+    sized = mixing.sized_documents(docs)
+    planned = mixing.plan(sized, spark.createDataFrame([("low", 1.0, 1, 1)], TARGETS), 5000)
+    per = mixing.in_cells(sized, planned).groupBy("cell").count().collect()
+    assert len(per) == 64 and max(r["count"] for r in per) <= 3 * 100
+    upto, want = 0, 0
+    for r in sized.orderBy("key", "doc_id").collect():
+        upto += r.n_tokens
+        want += upto <= 5000
+    assert mixing.mixture(sized, planned).count() == want
