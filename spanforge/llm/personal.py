@@ -92,7 +92,7 @@ CANDIDATES = {
 }
 CANDIDATES["address_caseless"] = re.compile(CANDIDATES["address"].pattern.replace("[A-Z][a-z]+", "[A-Za-z]+"), re.I)
 _TITLE = r"(?:Mr|Mrs|Ms|Mx|Miss|Dr|Prof|Professor|Sir|Herr|Frau|Mme|Mlle)\.?"
-_CAP = r"[A-ZÀ-Ý][a-zß-ÿ]+(?:[-'’][A-Z][a-z]+)?"
+_CAP = r"(?:Mac|Mc|Fitz|[OD]['’])?[A-ZÀ-Ý][a-zß-ÿ]+(?:[-'’][A-Z][a-z]+)?"
 # Words that begin a sentence or a heading before a name.
 _FIRST = r"(?!(?:Ask|My|The|A|An|Tell|Call|Email|Mail|Contact|Dear|Hi|Hello|Thanks|From|To|By|For|With|Reported|Author|Reviewed|Signed|Tested|Acked|Use|Send|Ticket|Row|See|And|Or|But|If|When|What|Please|Both|Most|Nobody|Its|It|We|This|There|After|Before|In|On|At|Is|Was|Has|Opened)\b)"
 NAME = re.compile(
