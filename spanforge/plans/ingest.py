@@ -87,7 +87,9 @@ def _events(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_dedup(s: SparkSession, d: str) -> DataFrame:
-    return pipelines.drain(pipelines.deduplicated(_events(s, d), ["event_id"], late="3650 days"), "dedup").select("event_id", "user_id", "event_type", "value")
+    folder = pipelines.place(s, "dedup")
+    pipelines.publish_new(pipelines.deduplicated(_events(s, d), ["event_id"], late="7 days"), ["event_id"], folder)
+    return s.read.schema(f"{_EVENTS}, batch int").parquet(f"{folder}/table").select("event_id", "user_id", "event_type", "value")
 
 
 def stream_upsert(s: SparkSession, d: str) -> DataFrame:

@@ -30,10 +30,12 @@ def build_session(app: str = "spanforge", master: str = "local[*]", shuffle: int
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder from ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is used.
+    Only in local mode, and only where that is unset, a temporary folder is used.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="spanforge-"))
     return d
 
