@@ -43,6 +43,11 @@ def _position(ids: Column, wanted: Column) -> Column:
     return F.nullif(F.array_position(ids, wanted), F.lit(0)) - 1
 
 
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once for the record, also where ``f`` uses it inside lambdas."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _nested(outer: Column, f, kind: str) -> Column:
     """``flatten(transform(outer, f))`` that passes over null arrays."""
     return F.flatten(F.transform(outer, lambda x, i: F.coalesce(f(x, i), _empty(kind))))
@@ -50,8 +55,7 @@ def _nested(outer: Column, f, kind: str) -> Column:
 
 def steps_table(traces: DataFrame) -> DataFrame:
     """One row per step, with the path of the step that its ``parent_step`` names ('' if none)."""
-    idx = F.transform("steps", lambda s: s["step_index"])
-    rows = F.transform(
+    rows = lambda idx: F.transform(
         "steps",
         lambda s, i: F.when(
             s.isNotNull(),
@@ -69,7 +73,7 @@ def steps_table(traces: DataFrame) -> DataFrame:
             ),
         ),
     )
-    return traces.select("row_id", F.inline(F.filter(rows, lambda r: r.isNotNull())))
+    return traces.select("row_id", F.inline(F.filter(_with(F.transform("steps", lambda s: s["step_index"]), rows), lambda r: r.isNotNull())))
 
 
 def calls_table(traces: DataFrame) -> DataFrame:
@@ -117,9 +121,8 @@ def observations_table(traces: DataFrame) -> DataFrame:
 def ranges_table(traces: DataFrame) -> DataFrame:
     """One row per attribution range; its parent is the first step that has the index at the end of the url."""
     inner = "struct<file_pos:int,conv_pos:int,range_pos:int,range_path:string,parent_path:string,file_path:string,url:string,start_line:bigint,end_line:bigint,content_hash:string,confidence:string>"
-    idx = F.transform("steps", lambda s: s["step_index"])
 
-    def of_file(f: Column, i: Column) -> Column:
+    def of_file(f: Column, i: Column, idx: Column) -> Column:
         def of_conv(c: Column, j: Column) -> Column:
             number = F.regexp_extract(c["url"], r"([0-9]+)\s*$", 1).try_cast("bigint")
             parent = F.coalesce(_text(_position(idx, number)), F.lit(""))
@@ -137,7 +140,7 @@ def ranges_table(traces: DataFrame) -> DataFrame:
 
         return _nested(f["conversations"], of_conv, inner)
 
-    rows = _nested(F.col("attribution.files"), of_file, inner)
+    rows = _with(F.transform("steps", lambda s: s["step_index"]), lambda idx: _nested(F.col("attribution.files"), lambda f, i: of_file(f, i, idx), inner))
     return traces.select("row_id", F.inline(F.filter(rows, lambda r: r.isNotNull())))
 
 
@@ -164,9 +167,8 @@ def child_links(traces: DataFrame) -> DataFrame:
         )
         return F.concat(F.coalesce(calls, _empty(kind)), F.coalesce(seen, _empty(kind)))
 
-    idx = F.transform("steps", lambda s: s["step_index"])
 
-    def of_file(f: Column, i: Column) -> Column:
+    def of_file(f: Column, i: Column, idx: Column) -> Column:
         def of_conv(c: Column, j: Column) -> Column:
             number = F.regexp_extract(c["url"], r"([0-9]+)\s*$", 1).try_cast("bigint")
             parent = F.coalesce(_text(_position(idx, number)), F.lit(""))
@@ -174,5 +176,5 @@ def child_links(traces: DataFrame) -> DataFrame:
 
         return _nested(f["conversations"], of_conv, kind)
 
-    all_rows = F.concat(F.coalesce(_nested(F.col("steps"), of_step, kind), _empty(kind)), F.coalesce(_nested(F.col("attribution.files"), of_file, kind), _empty(kind)))
+    all_rows = F.concat(F.coalesce(_nested(F.col("steps"), of_step, kind), _empty(kind)), F.coalesce(_with(F.transform("steps", lambda s: s["step_index"]), lambda idx: _nested(F.col("attribution.files"), lambda f, i: of_file(f, i, idx), kind)), _empty(kind)))
     return traces.select("row_id", F.inline(F.filter(all_rows, lambda r: r.isNotNull())))
