@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from spanforge.llm.words import words_of
 
 WINDOW = 20
+#: three errors in a row of words can spoil all windows of 20 in a passage of 30, so that length is tested too
+LONGER = 30
 BUDGET = 10  # one error per so many words
 SHARED_OPENING = 3
 BLOCK_BYTES = 16 << 20
@@ -109,6 +111,7 @@ class ItemIndex:
             self.flat[s : s + len(w)] = w
             self.owner[s : s + len(w)] = i
         self.window = np.array([min(WINDOW, len(w)) for w in self.words], dtype=np.int64)
+        self.length = np.array([len(w) for w in self.words], dtype=np.int64)
         self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for q in sorted({piece_length(int(w)) for w in self.window}):
             pos = np.concatenate([s + np.arange(max(0, len(w) - q + 1)) for s, w, n in zip(self.start, self.words, self.window, strict=True) if piece_length(int(n)) == q])
@@ -130,6 +133,25 @@ def gram_hashes(flat: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
+def _passage(index: ItemIndex, flat: np.ndarray, doc_of: np.ndarray, x: int, y: int, run: int, own: int, n: int) -> bool:
+    """Whether a passage of ``n`` words of an item stands around a common run of ``run`` words at x in the documents and y in the items."""
+    doc, k, q, words = int(doc_of[x]), n // BUDGET, piece_length(n), index.words[own]
+    at = y - int(index.start[own])
+    first, last = max(0, at + q - n), min(len(words) - n, at + run - q)
+    # a window within k errors keeps n - k of its words in the document's part around it
+    left = max(0, x - (at - first) - k)
+    around = flat[left : x + (last - at) + n + k]
+    held = set(around[doc_of[left : left + len(around)] == doc].tolist())
+    piece = words[first : last + n].tolist()
+    there = np.cumsum([0] + [w in held for w in piece])
+    for s in (np.flatnonzero(there[n:] - there[:-n] >= n - k) + first).tolist():
+        lo = max(0, x - (at - s) - k)
+        text = flat[lo : x + (n - (at - s)) + k]
+        if myers_within(piece[s - first : s - first + n], text[doc_of[lo : lo + len(text)] == doc].tolist(), k):
+            return True
+    return False
+
+
 def _match(index: ItemIndex, flat: np.ndarray, doc_of: np.ndarray) -> set[tuple[int, int]]:
     """(document number, item number) of the passages in the padded words ``flat``."""
     found: set[tuple[int, int]] = set()
@@ -180,25 +202,11 @@ def _match(index: ItemIndex, flat: np.ndarray, doc_of: np.ndarray) -> set[tuple[
                     near |= flat2[i] == item2[j]
                     i, j = dp - a - 2, ip - b - 2
                     near |= (i >= 0) & (j >= 0) & (flat2[np.maximum(i, 0)] == item2[np.maximum(j, 0)])
-        for x, y, r, o, n in zip(dp[near].tolist(), ip[near].tolist(), run[near].tolist(), own[near].tolist(), need[near].tolist(), strict=True):
-            doc = int(doc_of[x])
-            if (doc, o) in found:
-                continue
-            k, words, s0 = n // BUDGET, index.words[o], int(index.start[o])
-            at = y - s0
-            first, last = max(0, at + q - n), min(len(words) - n, at + r - q)
-            # a window within k errors keeps n - k of its words in the document's part around it
-            left = max(0, x - (at - first) - k)
-            around = flat[left : x + (last - at) + n + k]
-            held = set(around[doc_of[left : left + len(around)] == doc].tolist())
-            piece = words[first : last + n].tolist()
-            there = np.cumsum([0] + [w in held for w in piece])
-            for s in (np.flatnonzero(there[n:] - there[:-n] >= n - k) + first).tolist():
-                lo_ = max(0, x - (at - s) - k)
-                text = flat[lo_ : x + (n - (at - s)) + k]
-                if myers_within(piece[s - first : s - first + n], text[doc_of[lo_ : lo_ + len(text)] == doc].tolist(), k):
-                    found.add((doc, o))
-                    break
+        longer = (run >= piece_length(LONGER)) & (index.length[own] >= LONGER) & (need == WINDOW)
+        for pick, size in ((near, 0), (longer, LONGER)):
+            for x, y, r, o, n in zip(dp[pick].tolist(), ip[pick].tolist(), run[pick].tolist(), own[pick].tolist(), need[pick].tolist(), strict=True):
+                if (int(doc_of[x]), o) not in found and _passage(index, flat, doc_of, x, y, r, o, size or n):
+                    found.add((int(doc_of[x]), o))
     return found
 
 

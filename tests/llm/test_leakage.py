@@ -75,3 +75,13 @@ def test_empty_tables(spark):
 
 def test_distance():
     assert leakage.myers_within([1, 2, 3], [9, 1, 3, 9], 1) and not leakage.myers_within([1, 2, 3], [9, 1, 9], 1)
+
+
+def test_three_errors_in_the_middle_of_thirty_words(spark):
+    item = [f"i{k}" for k in range(60)]
+    hit = [f"x{k}" if k in (11, 14, 17) else w for k, w in enumerate(item[10:40])]
+    miss = [f"x{k}" if k in (5, 11, 14, 17) else w for k, w in enumerate(item[10:40])]
+    around = lambda w: " ".join([f"a{k}" for k in range(15)] + w + [f"b{k}" for k in range(15)])
+    docs = spark.createDataFrame([(1, around(hit)), (2, around(miss)), (3, around(hit[:29]))], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    assert {tuple(r) for r in leakage.leaks(docs, items).collect()} == {(1, 7)}
