@@ -9,9 +9,10 @@
 3. Every value is read again with an automaton of the confirmed literals, so a
    secret is also found where nothing around it gives it away.
 
-The literals are sent to the executors only up to ``BLOCK_BYTES`` at once; more
-are taken in blocks by hash, one pass each.  Counting is pre-aggregated per
-literal, so a placeholder that a third of all values hold is one row per task.
+The texts are read once however many secrets there are: a filter of a fixed size
+says where one may end, and only these places meet the secrets (``rescan``).
+Counting is pre-aggregated per literal, so a placeholder that a third of all
+values hold is one row per task.
 
 Redaction replaces the secret itself: JSON keeps its escapes and stays valid,
 code keeps its quotes, a PEM block keeps its lines and their diff marks.
@@ -22,6 +23,7 @@ Defined results
     * a record delivered twice is reported under both row_ids, a row_id once;
     * records without a repository are as many owners as they have sessions or
       different contents, whichever is less: what is delivered again is one owner;
+    * of confirmed literals of more than ``LONG`` characters the end is searched for;
     * confirmed literals of fewer than ``MIN_LITERAL`` characters are searched for
       between characters that are no part of a word, and only if they are mixed.
 """
@@ -34,6 +36,7 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,6 @@ from pyspark.sql import functions as F
 from spanforge.session import cut
 
 SHARED_OWNERS = 8
-BLOCK_BYTES = 16 << 20
 MIN_LITERAL = 10  # shorter ones are searched for as whole tokens only
 SHORTEST = 4
 MARK = "REDACTED"
@@ -270,49 +272,141 @@ def confirmed(index: DataFrame) -> DataFrame:
     return per.where(F.col("own_proof") | (F.col("n_owners") < SHARED_OWNERS)).select("literal", "n_owners")
 
 
-def automaton(words: list[str]):
+def automaton(words: list[tuple[str, str]]):
+    """Of (form, literal) pairs: each form leads to itself and its literal."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for w in filter(_findable, words):
-        a.add_word(w, w)
-        escaped = json.dumps(w, ensure_ascii=False)[1:-1]
-        if escaped != w:
-            a.add_word(escaped, w)
+    for form, w in words:
+        a.add_word(form, (form, w))
     if len(a):
         a.make_automaton()
     return a
 
 
-def blocks(secrets: DataFrame) -> Iterator[list[str]]:
-    """The confirmed literals in lists of at most about ``BLOCK_BYTES``."""
-    long = secrets.where(F.length("literal") >= SHORTEST).select("literal")
-    size = long.agg(F.sum(F.length("literal"))).first()[0] or 0
-    n = int(size // BLOCK_BYTES) + 1
-    for k in range(n):
-        yield [r.literal for r in (long if n == 1 else long.where(F.pmod(F.xxhash64("literal"), F.lit(n)) == k)).toLocalIterator()]
+def forms(w: str) -> list[str]:
+    """How a confirmed literal is written in texts: as it is, and with the escapes of JSON."""
+    return list(dict.fromkeys((w, json.dumps(w, ensure_ascii=False)[1:-1], json.dumps(w)[1:-1])))
+
+
+#: bytes at the end of a form by which places are looked up; shorter forms are looked up as a whole
+ANCHOR = 8
+#: of longer literals the last so many characters are searched for
+LONG = 256
+#: bytes of texts that are searched at once
+TOGETHER = 1 << 18
+#: bits of the filter of anchors that is broadcast, whatever the number of secrets
+FILTER_BITS = 1 << 24
+
+
+def _windows(data: np.ndarray, lengths: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each length n the n bytes from each place of a text on as one number."""
+    out = data.astype(np.uint64)
+    for n in range(1, max(lengths) + 1):
+        if n > 1:
+            out = (out[: max(0, len(data) - n + 1)] << np.uint64(8)) | data[n - 1 :]
+        if n in lengths:
+            yield n, out
+
+
+def _slots(windows: np.ndarray, n: int, which: int) -> np.ndarray:
+    """The places of windows in the filter; there are two for each."""
+    with np.errstate(over="ignore"):
+        h = (windows + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return ((h >> np.uint64(40 if which else 16)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def anchored(secrets: DataFrame) -> DataFrame:
+    """(anchor, n, form, literal, slots): the findable forms of the confirmed literals with the bytes that they end with."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for w in filter(_findable, b.column(0).to_pylist()):
+                for form in forms(w[-LONG:]):
+                    raw = form.encode("utf-8", "surrogatepass")
+                    n = min(ANCHOR, len(raw))
+                    v = next(_windows(np.frombuffer(raw[-n:], np.uint8), [n]))[1]
+                    rows.append((int(v.view(np.int64)[0]), n, form, w, [int(_slots(v, n, k)[0]) for k in (0, 1)]))
+            types = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["anchor", "n", "form", "literal", "slots"])
+
+    return secrets.select("literal").mapInArrow(read, "anchor bigint, n int, form string, literal string, slots array<int>")
+
+
+def places(values: DataFrame, filled: np.ndarray, lengths: list[int], longest: int) -> DataFrame:
+    """(anchor, n, row_id, field, path, part): where a text may hold a form, with the part of the text up to there.
+
+    A part reaches back by the longest form (and two characters for the test of whole tokens) and one character on.
+    """
+    sent = values.sparkSession.sparkContext.broadcast(np.packbits(filled))
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string()]
+
+    def search(keys: list[tuple], texts: list[bytes], bits: np.ndarray) -> set[tuple]:
+        raw = bytes(ANCHOR).join(texts)
+        starts = np.cumsum([0] + [len(t) + ANCHOR for t in texts])
+        rows = set()
+        for n, v in _windows(np.frombuffer(raw, np.uint8), lengths):
+            at = np.flatnonzero(bits[_slots(v, n, 0)])
+            at = at[bits[_slots(v[at], n, 1)]]
+            of = np.searchsorted(starts, at, side="right") - 1
+            for i, k, x in zip(at.tolist(), of.tolist(), v[at].view(np.int64).tolist(), strict=True):
+                lo = max(int(starts[k]), i + n - longest - 2)
+                rows.add((x, n, *keys[k], raw[lo : min(i + n + 4, int(starts[k]) + len(texts[k]))].decode("utf-8", "ignore")))
+        return rows
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(sent.value).astype(bool)
+        for b in batches:
+            keys, texts, size, rows = [], [], 0, set()
+            for *key, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                keys.append(tuple(key))
+                texts.append(text.encode("utf-8", "surrogatepass"))
+                size += len(texts[-1])
+                if size >= TOGETHER:
+                    rows |= search(keys, texts, bits)
+                    keys, texts, size = [], [], 0
+            rows |= search(keys, texts, bits) if keys else set()
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["anchor", "n", "row_id", "field", "path", "part"])
+
+    return values.select("row_id", "field", "path", "text").mapInArrow(read, "anchor bigint, n int, row_id bigint, field string, path string, part string")
 
 
 def rescan(values: DataFrame, secrets: DataFrame) -> DataFrame:
-    """(row_id, field, path, literal) of every confirmed literal in every value."""
-    spark, out = values.sparkSession, None
-    for words in blocks(secrets):
-        sent = spark.sparkContext.broadcast(words)
-
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            a = automaton(sent.value)
-            for b in batches:
-                rows = []
-                if len(a):
-                    for row_id, field, path, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                        hits = {w for e, w in a.iter(text) if len(w) >= MIN_LITERAL or _whole(text, e + 1 - len(w), e + 1)}
-                        if hits:
-                            rows += [(row_id, field, path, w) for w in hits]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] + [pa.string()] * 3)], names=["row_id", "field", "path", "literal"])
-
-        part = values.select("row_id", "field", "path", "text").mapInArrow(scan, "row_id bigint, field string, path string, literal string")
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(row_id, field, path, literal) of every confirmed literal in every value, in one pass over the texts.
+
+    The forms' last bytes fill a filter of a fixed size that is broadcast; the few places that pass it are brought
+    together with the forms of the same last bytes, and an automaton of these is run over the part of the text
+    there.  Neither the driver nor an executor ever holds all secrets.
+    """
+    known = cut(anchored(secrets))
+    size = known.agg(F.max(F.octet_length("form")).alias("longest"), F.collect_set("n").alias("ns")).first()
+    spark = values.sparkSession
+    schema = "row_id bigint, field string, path string, literal string"
+    if not size.longest:
+        return spark.createDataFrame([], schema)
+    filled = np.zeros(FILTER_BITS, bool)
+    # at most FILTER_BITS numbers, as compact batches
+    filled[known.select(F.explode("slots").alias("slot")).distinct().toArrow().column(0).to_numpy()] = True
+    found = places(values, filled, sorted(size.ns), size.longest)
+    # forms of one anchor (those of equal ends) are few; a place that many values share is one row for each value
+    per = known.groupBy("anchor", "n").agg(F.collect_set(F.struct("form", "literal")).alias("forms"))
+    both = found.join(per, ["anchor", "n"]).select("row_id", "field", "path", "part", "forms")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, made = set(), {}
+            for row_id, field, path, part, words in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                key = tuple(sorted((w["form"], w["literal"]) for w in words))
+                if key not in made:
+                    made[key] = automaton(list(key))
+                for e, (form, w) in made[key].iter(part):
+                    if len(w) >= MIN_LITERAL or _whole(part, e + 1 - len(form), e + 1):
+                        rows.add((row_id, field, path, w))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64()] + [pa.string()] * 3)], names=["row_id", "field", "path", "literal"])
+
+    return both.mapInArrow(scan, schema)
 
 
 def secret_hits(traces: DataFrame) -> DataFrame:
@@ -332,7 +426,8 @@ def found(traces: DataFrame) -> DataFrame:
 def redact(text: str, words: list[str]) -> str:
     """``text`` with each literal, plain or JSON-escaped, replaced."""
     for w in sorted(words, key=len, reverse=True):
-        for form in dict.fromkeys((w, json.dumps(w, ensure_ascii=False)[1:-1])):
+        held = [f for f in forms(w) if f in text] or forms(w[-LONG:])  # of a very long one perhaps only the end
+        for form in held:
             if len(w) >= MIN_LITERAL:
                 text = text.replace(form, MARK)
                 continue
