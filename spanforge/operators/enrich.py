@@ -75,7 +75,9 @@ def imports(d: Dialect, x: str) -> str:
     none = f"coalesce({x}, '')"
     py = d.extract_all(none, r"(?:^|\n)[ \t]*(?:[0-9]+→)?(?:from|import) ([A-Za-z_][A-Za-z0-9_]*)", 1)
     js = d.extract_all(none, r"(?:require[(]|from )[\x22\x27]([A-Za-z@][A-Za-z0-9@/_.-]*)[\x22\x27]", 1)
-    both = f"concat({py}, {js})" if d.spark else f"({py} || {js})"
+    rb = d.extract_all(none, r"(?:^|\n)[ \t]*(?:[0-9]+→)?require [\x22\x27]([A-Za-z0-9_/.-]+)[\x22\x27]", 1)
+    go = d.extract_all(none, r"(?:^|\n)[ \t]*(?:[0-9]+→)?(?:import )?\x22([a-z0-9-]+[.][a-z]{2,}/[A-Za-z0-9_./-]+)\x22", 1)
+    both = f"concat({py}, {js}, {rb}, {go})" if d.spark else f"({py} || {js} || {rb} || {go})"
     return d.sort(d.distinct(d.filter(both, "w", f"length(w) > 1 AND lower(w) = w AND w NOT IN {BUILTIN}")))
 
 

@@ -11,7 +11,7 @@ from spanforge.functions.dialect import SPARK
 from spanforge.operators import enrich, reports, stats
 from spanforge.plans.records import ORACLE as _RECORDS
 from spanforge.plans.records import _scores
-from spanforge.sources import datasets, transcripts
+from spanforge.sources import datasets, shards, transcripts
 from spanforge.sources.tables import pick, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,6 +76,10 @@ _STATE = "trace_id string, status string, created_at double, uploaded_at string,
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (hybrid_scores, persona_badges, batch_delta, call_snippets, dataset_records, merged_outcomes)
 } | {
+    "trace_exported": lambda s, d: shards.exchange(pick(s, d, "traces", "session_id trace_id agent metrics steps.role steps.content steps.reasoning_content steps.model steps.tool_calls steps.observations steps.token_usage")).selectExpr(
+        "session_id", "agent.name AS agent", "final_metrics.total_steps AS n_steps", "final_metrics.total_prompt_tokens AS tokens", "aggregate(steps, 0L, (a, s) -> a + size(s.tool_calls)) AS n_calls"
+    ),
+    "exchange_coverage": lambda s, d: shards.coverage(s),
     "trace_detail": lambda s, d: reports.detail(pick(s, d, "traces", "row_id steps.role steps.content steps.tool_calls.tool_call_id"), [3, 5, 8, 13]),
     "trace_judge_summary": lambda s, d: reports.judge_summary(pick(s, d, "traces", "row_id task.description steps.role steps.tool_calls.tool_name dependencies attribution.files.path")),
     "trace_unattributed": lambda s, d: reports.unattributed(pick(s, d, "traces", "row_id environment.vcs.diff attribution.files.path")),
@@ -104,6 +108,8 @@ ORACLE: dict[str, str] = {
  SELECT row_id, step_pos, call_pos, file_path, s::INT AS start_line, (s + n - 1)::INT AS end_line, left(t, 5000) AS text FROM k""",
     "dataset_records": """SELECT 'own/set:default:0123456789ab:' || row_id AS session_id, task.description AS task, outcome.success AS success, CASE WHEN outcome.success IS NOT NULL THEN 'source_metadata' END AS signal_source,
  CASE outcome.success WHEN true THEN 'goal_reached' WHEN false THEN 'abandoned' END AS terminal_state FROM traces WHERE len(list_filter(steps, lambda s: coalesce(s.role, '') <> 'system')) > 0""",
+    "trace_exported": "SELECT coalesce(session_id, trace_id) AS session_id, coalesce(agent.name, 'unknown') AS agent, len(steps)::BIGINT AS n_steps, metrics.total_input_tokens AS tokens, list_sum(list_transform(steps, lambda s: coalesce(len(s.tool_calls), 0)))::BIGINT AS n_calls FROM traces WHERE len(steps) > 0",
+    "exchange_coverage": "SELECT * FROM (VALUES " + ", ".join(f"('{p}', '{k}')" for p, k in shards.COVERAGE) + ") t(path, kept)",
     "trace_detail": "SELECT row_id, (i - 1)::INT AS pos, s.role AS role, CASE WHEN length(s.content) > 500 THEN left(s.content, 500) || '... (truncated)' ELSE s.content END AS content, coalesce(len(s.tool_calls), 0)::INT AS n_calls FROM (SELECT row_id, unnest(steps) AS s, unnest(range(1, len(steps) + 1)) AS i FROM traces WHERE row_id IN (3, 5, 8, 13))",
     "trace_judge_summary": """WITH n AS (SELECT *, flatten(list_filter(list_transform(steps, lambda s: list_transform(s.tool_calls, lambda c: c.tool_name)), lambda x: x IS NOT NULL)) AS names FROM traces)
  SELECT row_id, left(task.description, 500) AS task, coalesce(len(list_filter(steps, lambda s: s.role = 'user')), 0)::INT AS n_user, coalesce(len(list_filter(steps, lambda s: s.role = 'agent')), 0)::INT AS n_agent, coalesce(len(names), 0)::INT AS n_calls,

@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spanforge.functions.dialect import SPARK
+from spanforge.operators.records import exchange_steps
+
 
 def content_hash(df: DataFrame, exclude: tuple[str, ...] = ("content_hash", "trace_id", "row_id", "batch_no", "ingested_at")) -> Column:
     """SHA-256 of the record as JSON with its columns in the order of their names; null fields are left out."""
@@ -34,6 +38,50 @@ def append(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
 
+def stage(records: DataFrame, folder: str) -> None:
+    """Records waiting to be pushed, by the day they were staged; one table, not a file for each trace."""
+    records.withColumn("staged_on", F.current_date()).write.mode("append").partitionBy("staged_on").json(f"{folder}/staging")
+
+
+def write_sidecar(summary: DataFrame, folder: str) -> None:
+    """The quality summary of a push beside its shards: a few rows in one file, replaced as a whole."""
+    summary.coalesce(1).write.mode("overwrite").json(f"{folder}/quality")
+
+
+def read_sidecar(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
+    """The quality summary, or None if none was written."""
+    try:
+        return spark.read.schema(schema).json(f"{folder}/quality")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return None
+        raise
+
+
+# What the exchange form keeps of a record.
+COVERAGE = [
+    ("steps[].content", "full"), ("steps[].reasoning_content", "full"), ("steps[].tool_calls", "full"), ("steps[].observations", "full"), ("steps[].model", "full"), ("steps[].role", "full"), ("agent", "full"),
+    ("steps[].token_usage", "partial"), ("metrics", "partial"), ("task", "partial"), ("session_id", "full"), ("attribution", "dropped"), ("steps[].snippets", "dropped"), ("environment", "dropped"), ("outcome", "dropped"), ("security", "dropped"), ("dependencies", "dropped"),
+]
+
+
+def coverage(spark: SparkSession) -> DataFrame:
+    """(path, kept): whether a field is kept in the exchange form in full, in part or not."""
+    return spark.createDataFrame(COVERAGE, "path string, kept string")
+
+
+def exchange(traces: DataFrame) -> DataFrame:
+    """Records in the agent-trajectory exchange form; records without steps are left out."""
+    usage = F.struct(F.col("metrics.total_input_tokens").alias("total_prompt_tokens"), F.col("metrics.total_output_tokens").alias("total_completion_tokens"), F.size("steps").cast("bigint").alias("total_steps"))
+    agent = F.struct(F.coalesce("agent.name", F.lit("unknown")).alias("name"), F.col("agent.version").alias("version"), F.col("agent.model").alias("model_name"))
+    return traces.where(F.size("steps") > 0).select(F.coalesce("session_id", "trace_id").alias("session_id"), agent.alias("agent"), F.expr(exchange_steps(SPARK)).alias("steps"), usage.alias("final_metrics"))
+
+
+def export(traces: DataFrame, folder: str) -> None:
+    """The exchange form as JSON lines, one record a line."""
+    exchange(traces).write.mode("overwrite").json(folder)
+
+
 def read(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame:
     """All shards; lines that do not parse are left out."""
     marked = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])

@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.sources import datasets, transcripts
+from spanforge.operators import enrich
+from spanforge.sources import datasets, shards, transcripts
 
 
 def row(i, **more):
@@ -82,3 +83,22 @@ def test_outcome_and_version_control(spark):
     df = spark.createDataFrame([("end_turn", "main", None), ("error_max_turns", "HEAD", "abc"), (None, None, None), ("max_tokens", None, "abc")], "r string, b string, s string")
     got = [(r.o.success, r.o.signal_confidence, r.v.type, r.v.branch, r.v.base_commit) for r in df.select(transcripts.outcome(F.col("r")).alias("o"), transcripts.version_control(F.col("b"), F.col("s")).alias("v")).collect()]
     assert got == [(None, "inferred", "git", "main", None), (False, "inferred", "git", None, "abc"), (None, "derived", "none", None, None), (None, "inferred", "git", None, "abc")]
+
+
+def test_staging_sidecar_and_export(spark, make_traces, tmp_path):
+    f = str(tmp_path / "d")
+    assert shards.read_sidecar(spark, f, "persona string, avg_score double") is None
+    shards.write_sidecar(spark.createDataFrame([("rl", 50.5)], "persona string, avg_score double"), f)
+    assert [tuple(r) for r in shards.read_sidecar(spark, f, "persona string, avg_score double").collect()] == [("rl", 50.5)]
+    t = make_traces([{"row_id": 1, "session_id": "s", "steps": [{"role": "agent", "content": "x", "observations": [{"error": "e"}]}]}, {"row_id": 2}])
+    shards.stage(t.select("row_id", "session_id"), f)
+    assert spark.read.json(f"{f}/staging").count() == 2
+    shards.export(t, f"{f}/out")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{f}/out").collect()]
+    assert len(lines) == 1 and lines[0]["steps"][0]["results"][0]["content"] == "[error: e]" and lines[0]["agent"]["name"] == "unknown"
+
+
+def test_imports_of_four_languages(spark):
+    text = "import numpy\nfrom flask import x\nconst a = require('left-pad')\n  12→require 'nokogiri'\nimport \"github.com/a/b\"\n\t\"gopkg.in/yaml.v3\"\nimport os\n\"plain.text\""
+    got = spark.createDataFrame([(text,)], "t string").selectExpr(enrich.imports(enrich.SPARK, "t")).first()[0]
+    assert got == ["flask", "github.com/a/b", "gopkg.in/yaml.v3", "left-pad", "nokogiri", "numpy"]
