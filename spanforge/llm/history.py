@@ -18,6 +18,8 @@ Candidates
     that is a repeat, whatever the spread of the changes; what is left is verified.
 
 Skew
+    Where a token is hot, as in texts of few words, its list would be compared again for every such token: records that
+    hold one are compared once, all with all, in blocks sorted by length, by sketches of ``WIDE`` bits.
     Equal word sequences are one record before anything is indexed (pre-aggregated
     by digest).  A list of more than ``LIST`` postings is split into chunks and each
     pair of chunks is a group of its own, so no list is held in memory as a whole.
@@ -50,6 +52,13 @@ SIMILARITY = 0.8
 ORDER = 1 << 18
 #: a longer posting list is split
 LIST = 8192
+#: a token is hot if more than one record in so many holds it, and more than ``HOT_LEAST``
+HOT, HOT_LEAST = 64, 64
+#: pairs that are compared in blocks in the time of one pair of a list
+DENSE = 8
+#: bits of the sketch of a record, and the most records of a block
+WIDE, BLOCK = 1024, 1 << 17
+_SKETCH = "row_id bigint, n int, wide binary"
 _POSTING = "token bigint, row_id bigint, n int, reach int, sketch binary"
 
 
@@ -186,9 +195,118 @@ def _meetings(lists: np.ndarray, ids: np.ndarray, n: np.ndarray, reach: np.ndarr
         yield pairs[0], pairs[1], pairs[2].astype(bool)
 
 
-def candidates(posts: DataFrame) -> DataFrame:
-    """Pairs (a, b, old), b new and a old or new, that can have four fifths of the longer's words in common, of (token, row_id, n, reach, sketch, new)."""
-    long = cut(posts.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > LIST))
+def sketches(records: DataFrame) -> DataFrame:
+    """(row_id, n, wide): the parity sketch of ``WIDE`` bits of every record."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide, n = [], []
+            for words in _texts(b, 1):
+                bits = np.bincount((tokens_of(words) >> 40) & (WIDE - 1), minlength=WIDE) & 1
+                wide.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                n.append(len(words))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(wide, pa.binary())], names=["row_id", "n", "wide"])
+
+    return records.select("row_id", "words").mapInArrow(draw, _SKETCH)
+
+
+class Block:
+    """Records sorted by length, their sketches at full width and folded to a half and a quarter."""
+
+    #: lengths up to which a quarter and a half of the bits tell most texts apart
+    SHORT, MIDDLE = 240, 470
+
+    def __init__(self, ids: np.ndarray, n: np.ndarray, wide: np.ndarray):
+        o = np.argsort(n, kind="stable")
+        self.ids, self.n, self.wide = ids[o], n[o].astype(np.int64), wide[o]
+        self.bits = [np.ascontiguousarray(self.wide.T)]
+        for _ in range(2):  # the parity of tokens by fewer bits of their hash
+            w = self.bits[0]
+            self.bits.insert(0, w[: len(w) // 2] ^ w[len(w) // 2 :])
+
+    def level(self, n: int) -> int:
+        return 0 if n <= self.SHORT else 1 if n <= self.MIDDLE else 2
+
+
+def _close(x: Block, y: Block, rows: int = 32, cols: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of records of two blocks, or of one with itself, that length and sketch let pass."""
+    need_x, need_y = needed(x.n), needed(y.n)
+    differ, count, sums = np.empty(rows * cols, np.uint64), np.empty(rows * cols, np.uint8), np.empty(rows * cols, np.uint16)
+    for lo in range(0, len(x.n), rows):
+        hi = min(lo + rows, len(x.n))
+        first = lo + 1 if x is y else int(np.searchsorted(y.n, need_x[lo]))
+        last = int(np.searchsorted(y.n, x.n[hi - 1] * 5 // 4, side="right"))
+        for c in range(first, last, cols):
+            d = min(c + cols, last)
+            level = x.level(max(x.n[hi - 1], y.n[d - 1]))
+            most = x.n[hi - 1] + y.n[c:d] - 2 * np.maximum(need_x[lo], need_y[c:d])  # words that may differ, of any of the rows
+            # a byte is enough below MIDDLE: where the count runs over, a pair is kept and looked at again
+            shape = (hi - lo, d - c)
+            size = shape[0] * shape[1]
+            u, v, far = differ[:size].reshape(shape), count[:size].reshape(shape), sums.view(np.uint8 if level < 2 else np.uint16)[:size].reshape(shape)
+            far[:] = 0
+            for p, q in zip(x.bits[level], y.bits[level], strict=True):
+                far += np.bitwise_count(np.bitwise_xor(p[lo:hi, None], q[None, c:d], out=u), out=v)
+            i, j = np.divmod(np.flatnonzero(far <= np.clip(most, 0, np.iinfo(far.dtype).max).astype(far.dtype)), d - c)
+            i, j = i + lo, j + c
+            if x is y:
+                i, j = i[i < j], j[i < j]
+            for k in range(0, len(i), CHUNK):
+                a, b = i[k : k + CHUNK], j[k : k + CHUNK]
+                room = x.n[a] + y.n[b] - 2 * np.maximum(need_x[a], need_y[b])
+                ok = (np.bitwise_count(x.wide[a] ^ y.wide[b]).sum(1, dtype=np.int64) <= room) & (x.ids[a] != y.ids[b])
+                if ok.any():
+                    yield a[ok], b[ok]
+
+
+def in_blocks(drawn: DataFrame, count: int) -> DataFrame:
+    """Pairs (a, b, old) as of ``candidates`` of all records of (row_id, n, wide, new): each pair of blocks is a group."""
+    k = max(min(12, -(-count // 2048)), -(-count // BLOCK))
+    parts = drawn.withColumn("c", F.pmod(F.xxhash64("row_id"), F.lit(k)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    parts = parts.select((F.least("c", "o") * k + F.greatest("c", "o")).alias("pair"), (F.col("c") > F.col("o")).alias("second"), (F.col("c") == F.col("o")).alias("single"), "row_id", "n", "wide", "new")
+
+    def meet(t: pa.Table) -> pa.Table:
+        second, single, ids, n, new = (t.column(c).to_numpy() for c in ("second", "single", "row_id", "n", "new"))
+        wide = np.frombuffer(b"".join(t.column("wide").to_pylist()), np.uint64).reshape(len(ids), -1)
+        (new_x, old_x), (new_y, old_y) = ([Block(ids[m], n[m], wide[m]) for m in (side & new, side & ~new)] for side in (~second, second))
+        out = []
+        for x, y, old in ((new_x, new_x, False), (old_x, new_x, True)) if single[0] else ((new_x, new_y, False), (old_x, new_y, True), (old_y, new_x, True)):
+            for i, j in _close(x, y):
+                a, b = x.ids[i], y.ids[j]
+                out.append((a, b, np.ones(len(a), bool)) if old else (np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), bool)))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)]
+        return pa.table(dict(zip(("a", "b", "old"), cols, strict=True)))
+
+    return parts.repartition(k * (k + 1) // 2, "pair").groupBy("pair").applyInArrow(meet, "a bigint, b bigint, old boolean")
+
+
+def candidates(posts: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Pairs (a, b, old), b new and a old or new, that can have four fifths of the longer's words in common, of (token,
+    row_id, n, reach, sketch, new) and the sketches (row_id, n, wide, new) of the same records.
+
+    Records that hold a hot token are compared in blocks, all with all; the other lists count as far as they hold another record.
+    """
+    held = cut(posts.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > 1))
+    hot = held.where(F.col("held") > max(HOT_LEAST, drawn.count() // HOT)).select("token", "held")
+    pairs = hot.agg(F.sum(F.col("held").cast("double") ** 2)).first()[0]  # one number
+    if pairs is None:
+        return in_lists(posts, held)
+    # hot tokens are few: each is held by more than one record in HOT
+    rows = cut(posts.join(F.broadcast(hot), "token", "left_semi").select("row_id", "new").distinct())
+    count = rows.count()
+    if float(count) ** 2 > DENSE * pairs:
+        return in_lists(posts, held)
+    met = in_blocks(drawn.join(rows, ["row_id", "new"], "left_semi"), count)
+    cold = cut(posts.select("token", "row_id", "new").join(rows, ["row_id", "new"], "left_anti").select("token").distinct().join(held, "token", "left_semi").join(F.broadcast(hot), "token", "left_anti"))
+    if not cold.isEmpty():
+        some = F.broadcast(cold) if cold.count() <= 1 << 19 else cold
+        met = met.unionByName(in_lists(posts.join(some, "token", "left_semi"), held))
+    return met.distinct()
+
+
+def in_lists(posts: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs of ``candidates`` that meet in a posting list, of postings and the lengths of the lists."""
+    long = held.where(F.col("held") > LIST)
     lists = posts.withColumns({"lo": F.lit(0), "hi": F.lit(0)})
     if not long.isEmpty():
         parts = posts.join(long, "token", "left").withColumn("k", F.ceil(F.coalesce("held", F.lit(1)) / LIST).cast("int"))
@@ -288,12 +406,14 @@ class HistoryIndex:
     batch whose writing was interrupted does not count (``accepted`` names those that are complete):
 
     * ``postings`` (token, row_id, n, reach, sketch), partitioned by the token's bucket;
+    * ``sketches`` (row_id, n, wide), partitioned by the row's bucket, for records with hot tokens;
     * ``digests`` (digest, row_id, leader), partitioned by the digest's bucket, for equal texts;
     * ``records`` (row_id, words, leader), partitioned by the row's bucket, for verification;
     * ``order``, the rarity of tokens in the first batch, stays as it is: any fixed order is exact, and tokens
       unknown to it count as rare.
 
-    A batch reads the partitions of its own tokens and digests, and the words of the buckets that hold a candidate.
+    A batch reads the partitions of its own tokens and digests, the words of the buckets that hold a candidate, and
+    the sketches where tokens are hot.
     """
 
     def __init__(self, folder: str, buckets: int = 16):
@@ -329,8 +449,8 @@ class HistoryIndex:
     def _of(df: DataFrame, column: str = "bucket") -> list[int]:
         return [r[0] for r in df.select(column).distinct().collect()]  # at most as many as there are buckets
 
-    def _match(self, batch: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """(members, records with the leader they have or are and whether their text is known, postings) of a batch."""
+    def _match(self, batch: DataFrame, name: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+        """(members, records with the leader they have or are and whether their text is known, postings, sketches) of a batch."""
         spark = batch.sparkSession
         signed = cut(signatures(batch).select("row_id", "n", "digest", "words"))
         members, records = representatives(signed)
@@ -338,15 +458,18 @@ class HistoryIndex:
         own = cut(postings(records, self._order(records)).withColumn("bucket", F.pmod("token", F.lit(self.buckets)).cast("int")))
         cols = ("token", "row_id", "n", "reach", "sketch")
         new = own.select(*cols, F.lit(True).alias("new"))
+        drawn = cut(sketches(records).withColumn("bucket", self._bucket("row_id")))
+        fresh = drawn.select("row_id", "n", "wide", F.lit(True).alias("new"))
         done = sorted(set(self._accepted(spark)) - {name})
         if not done:
-            links = verify(candidates(new).select("a", "b"), records, records)
+            links = verify(candidates(new, fresh).select("a", "b"), records, records)
             records = records.join(leaders(links), "row_id", "left").select("row_id", "digest", "words", F.coalesce("leader", "row_id").alias("leader"), F.lit(False).alias("known"))
-            return members, cut(records), own
+            return members, cut(records), own, drawn
         ids = records.select(F.col("row_id").alias("a"))
         old = self._read(spark, "postings", _POSTING, done, self._of(own))
         hit = old.join(own.select("bucket", "token").distinct(), ["bucket", "token"], "left_semi")
-        pairs = cut(candidates(hit.select(*cols, F.lit(False).alias("new")).unionByName(new)))
+        known = self._read(spark, "sketches", _SKETCH, done, list(range(self.buckets))).select("row_id", "n", "wide", F.lit(False).alias("new"))
+        pairs = cut(candidates(hit.select(*cols, F.lit(False).alias("new")).unionByName(new), known.unionByName(fresh)))
         # a row that is delivered again is matched with the others only
         far = cut(pairs.where("old").join(ids, "a", "left_anti").select("a", "b").withColumn("bucket", self._bucket("a")))
         history = self._read(spark, "records", "row_id bigint, words array<int>, leader bigint", done, self._of(far)).dropDuplicates(["row_id"])
@@ -360,11 +483,11 @@ class HistoryIndex:
         links = near.unionByName(led.unionByName(same.where("a <> b").select("leader", "b")).select(F.col("leader").alias("a"), "b")).where("a <> b")
         known = same.groupBy(F.col("b").alias("row_id")).agg(F.lit(True).alias("known"))
         records = records.join(leaders(links), "row_id", "left").join(known, "row_id", "left")
-        return members, cut(records.select("row_id", "digest", "words", F.coalesce("leader", "row_id").alias("leader"), F.coalesce("known", F.lit(False)).alias("known"))), own
+        return members, cut(records.select("row_id", "digest", "words", F.coalesce("leader", "row_id").alias("leader"), F.coalesce("known", F.lit(False)).alias("known"))), own, drawn
 
     def probe(self, batch: DataFrame) -> DataFrame:
         """(row_a, row_b) for the rows of ``batch`` that repeat an accepted record or an earlier row of the batch."""
-        members, records, _ = self._match(batch, "")
+        members, records, _, _ = self._match(batch, "")
         return self._found(members, records)
 
     @staticmethod
@@ -377,10 +500,11 @@ class HistoryIndex:
 
         A batch that is accepted again is compared with the others and replaces what it wrote.
         """
-        members, records, own = self._match(batch, name)
+        members, records, own, drawn = self._match(batch, name)
         # repeats are appended too: what is close to a repeat need not be close to its leader
         fresh = records.where("NOT known")
         self._write(own.join(fresh.select("row_id"), "row_id", "left_semi"), "postings", name)
+        self._write(drawn.join(fresh.select("row_id"), "row_id", "left_semi"), "sketches", name)
         self._write(fresh.select("digest", "row_id", "leader").withColumn("bucket", self._bucket("digest")), "digests", name)
         self._write(fresh.select("row_id", "words", "leader").withColumn("bucket", self._bucket("row_id")), "records", name)
         spark = batch.sparkSession

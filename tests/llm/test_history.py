@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from spanforge.llm import history
 from spanforge.llm.words import common_subsequence, words_of
 
@@ -186,3 +188,35 @@ def test_a_batch_reads_only_its_partitions(spark, tmp_path):
     filters = plan[plan.index("PartitionFilters:") :].split("PushedFilters")[0]
     assert "bucket" in filters and "batch" in filters
     assert index._read(spark, "records", "row_id bigint, words array<int>, leader bigint", ["a"], [3]).count() < 30
+
+
+def test_blocks_keep_every_pair_in_reach():
+    r = random.Random(11)
+    texts = []
+    for n in (8, 60, 235, 245, 460, 480, 700):  # both sides of the lengths at which fewer bits are compared
+        for _ in range(6):
+            w = [r.randrange(90) for _ in range(n)]
+            texts += [w, [90 + i if r.random() < 0.15 else x for i, x in enumerate(w)], w[: len(w) - len(w) // 6]]
+    words = [np.array(w, np.int32) for w in texts]
+    tokens = [history.tokens_of(w) for w in words]
+    wide = np.array([np.packbits((np.bincount((t >> 40) & (history.WIDE - 1), minlength=history.WIDE) & 1).astype(np.uint8)).view(np.uint64) for t in tokens])
+    n, ids = np.array([len(w) for w in words]), np.arange(len(words))
+    want = {(a, b) for b in ids for a in ids[:b] if len(np.intersect1d(tokens[a], tokens[b])) >= history.needed(max(n[a], n[b]))}
+    assert len(want) > 60
+    whole = history.Block(ids, n, wide)
+    even, odd = (history.Block(ids[ids % 2 == k], n[ids % 2 == k], wide[ids % 2 == k]) for k in (0, 1))
+    for x, y, some in ((whole, whole, want), (even, odd, {p for p in want if sum(p) % 2}), (odd, even, {p for p in want if sum(p) % 2})):
+        got = [tuple(sorted((x.ids[a], y.ids[b]))) for i, j in history._close(x, y, 4, 16) for a, b in zip(i, j, strict=True)]
+        assert len(got) == len(set(got)) and some <= set(got)
+
+
+def test_long_texts_of_few_words_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(history, "HOT_LEAST", 4)
+    r = random.Random(12)
+    w = [[r.randrange(400) for _ in range(600)] for _ in range(120)]
+    w += [[x if r.random() < 0.9 else 500 for x in w[0]]]
+    records = spark.createDataFrame(list(enumerate(w)), "row_id bigint, words array<int>").cache()
+    new = history.postings(records, history.rarity(records)).selectExpr("*", "row_id % 2 = 0 AS new")
+    drawn = history.sketches(records).selectExpr("*", "row_id % 2 = 0 AS new")
+    pairs = {(x.a, x.b, x.old) for x in history.candidates(new, drawn).collect()}
+    assert (0, 120, False) in pairs and len(pairs) < 20  # 5,122 where lists are joined with sketches of 512 bits
