@@ -5,15 +5,16 @@ of cells, marked items and other lines - and each segment gets statistics: words
 per line, word length, symbols, line ends, common words, digits, marks, regular
 cells, repetition, vocabulary, longest token, foreign characters, plausible and
 capitalised words.  A Gaussian mixture is fitted by expectation-maximisation on
-the standardised statistics of the leading segments of a sample of the documents,
-of those labelled by hand and of ``inspected_examples`` (made by rule).  Components are
-mapped to prose, list, table or junk by the majority of the inspected segments
-that they explain, so single wrong labels do not matter.  Every segment of every
+the standardised statistics of the leading segments of all documents and of
+``inspected_examples`` (made by rule), among which it starts.  Components are mapped to
+prose, list, table or junk by the majority of the inspected segments - all documents
+labelled by hand and the examples - that they explain, so single wrong labels do not matter.  Every segment of every
 document is then assigned, and a document has the form of more than half of its
 characters.
 
-The model has a fixed size and is fitted on the driver on the statistics of a
-bounded sample (``sampled``); documents are read in one pass without a shuffle.
+Documents are read in one pass without a shuffle; their statistics are kept.  The
+model has a fixed size, and a round of the fit is one pass over the statistics of the
+leading segments: each partition gives its sums, which have the size of the model.
 
 Defined results
     * null, empty and blank texts are junk (nearly empty);
@@ -29,7 +30,7 @@ import math
 import random
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -37,9 +38,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanforge.session import cut
+
 KINDS = ("prose", "list", "table", "junk")
-MAX_LABELLED = 2000
-MAX_SAMPLE = 4000
 COMPONENTS = 64
 PIECE = 120  # words
 SHINGLE = 8  # words
@@ -295,10 +296,46 @@ class Mixture:
         return (self.responsibilities(x) @ self.kinds).argmax(1)
 
 
-def fit_mixture(x: np.ndarray, labels: np.ndarray, components: int = COMPONENTS, rounds: int = 60, seed: int = SEED) -> Mixture:
-    """EM from centres spread by distance; labels are used for the mapping only."""
+Totals = Callable[[Callable[[np.ndarray, np.ndarray], np.ndarray]], np.ndarray]
+
+
+def _moments(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+    return np.concatenate([[len(x)], x.sum(0), (x**2).sum(0)])
+
+
+def _expected(m: Mixture) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The sums of a round of EM: responsibilities, these times statistics and their squares, log-likelihood."""
+
+    def of(x: np.ndarray, _: np.ndarray) -> np.ndarray:
+        z = (x - m.mean) / m.scale
+        log = m._log(z)
+        top = log.max(1, keepdims=True)
+        p = np.exp(log - top)
+        whole = p.sum(1, keepdims=True)
+        like = float((top + np.log(whole)).sum())
+        p /= whole
+        return np.concatenate([p.sum(0), (p.T @ z).ravel(), (p.T @ z**2).ravel(), [like]])
+
+    return of
+
+
+def _votes(m: Mixture) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """The responsibilities of each component for the segments of each label."""
+
+    def of(x: np.ndarray, labels: np.ndarray) -> np.ndarray:
+        return (m.responsibilities(x).T @ np.eye(len(KINDS) + 1)[labels][:, :-1]).ravel()
+
+    return of
+
+
+def fit_mixture(every: Totals, labelled: Totals, x: np.ndarray, labels: np.ndarray, components: int = COMPONENTS, rounds: int = 60, seed: int = SEED) -> Mixture:
+    """EM over the rows of ``every`` and the examples ``x``, from centres spread by distance among the examples; the
+    ``labels`` of the examples and the rows of ``labelled`` are used for the mapping only."""
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0) + 1e-3
+    d = x.shape[1]
+    count, first, second = np.split(every(_moments) + _moments(x, labels), [1, 1 + d])
+    mean = first / count
+    scale = np.sqrt(np.maximum(second / count - mean**2, 0)) + 1e-3
     z = (x - mean) / scale
     k = min(components, len(z))
     centres = [z[rng.integers(len(z))]]
@@ -306,65 +343,83 @@ def fit_mixture(x: np.ndarray, labels: np.ndarray, components: int = COMPONENTS,
     for _ in range(k - 1):  # k-means++
         centres.append(z[rng.choice(len(z), p=nearest / nearest.sum())] if nearest.sum() > 0 else z[0])
         nearest = np.minimum(nearest, ((z - centres[-1]) ** 2).sum(1))
-    m = Mixture(mean, scale, np.full(k, 1 / k), np.array(centres), np.full((k, z.shape[1]), 1.0), np.zeros((k, len(KINDS))))
+    m = Mixture(mean, scale, np.full(k, 1 / k), np.array(centres), np.full((k, d), 1.0), np.zeros((k, len(KINDS))))
     last = -np.inf
     for _ in range(rounds):
-        log = m._log(z)
-        top = log.max(1, keepdims=True)
-        like = float((top[:, 0] + np.log(np.exp(log - top).sum(1))).sum())
-        p = np.exp(log - top)
-        p /= p.sum(1, keepdims=True)
-        n = p.sum(0) + 1e-6
+        of = _expected(m)
+        n, sums, squares, like = np.split(every(of) + of(x, labels), [k, k + k * d, k + 2 * k * d])
+        n, sums, squares, like = n + 1e-6, sums.reshape(k, d), squares.reshape(k, d), float(like[0])
         m.weights = n / n.sum()
-        m.centres = (p.T @ z) / n[:, None]
-        m.variances = np.maximum((p.T @ z**2) / n[:, None] - m.centres**2, 0.1)
+        m.centres = sums / n[:, None]
+        m.variances = np.maximum(squares / n[:, None] - m.centres**2, 0.1)
         if abs(like - last) < 1e-4 * abs(like):
             break
         last = like
-    p = m.responsibilities(x)
-    votes = np.zeros((k, len(KINDS)))
-    for j in range(len(KINDS)):
-        votes[:, j] = p[labels == j].sum(0)
+    votes = (labelled(_votes(m)) + _votes(m)(x, labels)).reshape(k, len(KINDS))
     share = (votes + 1e-3) / (votes + 1e-3).sum(1, keepdims=True)
     m.kinds = np.eye(len(KINDS))[share.argmax(1)] * 0.9 + share * 0.1
     return m
 
 
-def leading_segment(text: str) -> list[str] | None:
-    """The lines of the segment that holds most of the text, if it holds 0.7 of it."""
-    parts = [x for k, x in segments(text) if k == "text"]
-    sizes = [sum(map(len, x)) for x in parts]
-    return parts[int(np.argmax(sizes))] if parts and max(sizes) >= 0.7 * sum(sizes) else None
+def measure(text: str | None) -> tuple[list[int], int, list[list[float]], int, bool]:
+    """Of a text: characters of its segments, of its code, statistics of the segments, place of the leading one (which
+    holds 0.7 of them; else -1), whether the text repeats itself."""
+    parts = segments(text) if text and text.strip() else []
+    plain = [lines for what, lines in parts if what != "code"]
+    sizes = [sum(map(len, lines)) for lines in plain]
+    code = sum(len(x) for what, lines in parts if what == "code" for x in lines)
+    lead = int(np.argmax(sizes)) if sizes and max(sizes) >= 0.7 * sum(sizes) else -1
+    return sizes, code, [statistics(lines) for lines in plain], lead, repeated(parts)
 
 
-def segment_statistics(texts: DataFrame) -> DataFrame:
-    """(kind, statistics) of the leading segments of (kind, text); texts without one are left out."""
+def measured(documents: DataFrame) -> DataFrame:
+    """(doc_id, sizes, code, x, lead, again): what ``measure`` has of every document, the statistics one after the other."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, statistics(lines)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if (lines := leading_segment(t))]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.list_(pa.float64()))], names=["kind", "x"])
+            sizes, code, x, lead, again = zip(*map(measure, b.column(1).to_pylist()), strict=True) if b.num_rows else [()] * 5
+            flat = [[v for row in rows for v in row] for rows in x]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(sizes, pa.list_(pa.int32())), pa.array(code, pa.int32()), pa.array(flat, pa.list_(pa.float32())), pa.array(lead, pa.int32()), pa.array(again, pa.bool_())],
+                names=["doc_id", "sizes", "code", "x", "lead", "again"],
+            )
+
+    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return docs.mapInArrow(read, "doc_id bigint, sizes array<int>, code int, x array<float>, lead int, again boolean")
 
-    return texts.select("kind", "text").mapInArrow(read, "kind string, x array<double>")
 
+def totals(rows: DataFrame) -> Totals:
+    """Sums over (kind, x) of what a function has of statistics and places of the labels in ``KINDS`` (-1: none); the
+    driver gets one vector of the function's size from each partition."""
 
-def sampled(documents: DataFrame, labels: DataFrame) -> list[tuple[str | None, list[float]]]:
-    """(label or None, statistics) of the segments that the mixture is fitted on: those of at most ``MAX_LABELLED``
-    labelled and about ``MAX_SAMPLE`` other documents, the lowest by hash.  Vectors of a fixed size are collected, no texts."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.lower(F.trim("label")).isin(*KINDS)).select(F.col("doc_id"), F.lower(F.trim("label")).alias("kind")).distinct()
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "kind").limit(MAX_LABELLED)
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    marked = texts.join(F.broadcast(known), "doc_id").select("kind", "text")  # at most MAX_LABELLED rows of an id and a word
-    share = min(1.0, MAX_SAMPLE / max(1, documents.count()))
-    others = texts.where(F.xxhash64("doc_id", F.lit(SEED)) <= F.lit(int(-(2**63) + share * (2**64 - 2**11)))).select(F.lit(None).cast("string").alias("kind"), "text")
-    rows = segment_statistics(marked.unionByName(others)).collect()
-    return sorted(((r.kind, list(r.x)) for r in rows), key=lambda r: (r[0] or "", r[1]))
+    def over(of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for b in batches:
+                if b.num_rows:
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(np.float64)
+                    v = of(x, np.array([KINDS.index(k) if k else -1 for k in b.column(0).to_pylist()]))
+                    total = v if total is None else total + v
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
+
+        return sum((np.frombuffer(r.v) for r in rows.select("kind", "x").mapInArrow(add, "v binary").collect()), 0.0)
+
+    return over
+
+
+def model_of(rows: DataFrame, labels: DataFrame) -> Mixture:
+    """The mixture of the leading segments of all ``measured`` documents and of the inspected examples, which with all labels name its components."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.lower(F.trim("label")).isin(*KINDS)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.trim("label")).alias("kind")).distinct()
+    lead = cut(rows.where("lead >= 0").select("doc_id", F.slice("x", F.col("lead") * len(FEATURES) + 1, len(FEATURES)).alias("x")))
+    examples = [(KINDS.index(k), x[i]) for k, t in inspected_examples() for _, _, x, i, _ in [measure(t)] if i >= 0]
+    every = totals(lead.select(F.lit(None).cast("string").alias("kind"), "x"))
+    return fit_mixture(every, totals(lead.join(known, "doc_id")), np.array([x for _, x in examples]), np.array([k for k, _ in examples]))
 
 
 def train(documents: DataFrame, labels: DataFrame) -> Mixture:
-    """The mixture of the documents' own segments and of the inspected examples, which with the labels name its components."""
-    rows = sampled(documents, labels) + [(k, statistics(s)) for k, t in inspected_examples() if (s := leading_segment(t))]
-    return fit_mixture(np.array([x for _, x in rows]), np.array([KINDS.index(k) if k else -1 for k, _ in rows]))
+    """The mixture of all documents."""
+    return model_of(cut(measured(documents)), labels)
 
 
 def repeated(parts: list[tuple[str, list[str]]]) -> bool:
@@ -377,38 +432,36 @@ def repeated(parts: list[tuple[str, list[str]]]) -> bool:
     return 2 * (runs - len(set(zip(*(words[i:] for i in range(SHINGLE)), strict=False)))) > total
 
 
-def kinds_of(texts: list[str | None], model: Mixture, chunk: int = 4096) -> list[str]:
-    """For each text the form of more than half of its characters, else prose."""
-    out: list[str] = []
-    for lo in range(0, len(texts), chunk):
-        parts = [segments(t) if t and t.strip() else [] for t in texts[lo : lo + chunk]]
-        x = [statistics(lines) for p in parts for _, lines in p]
-        found = iter(model.predict(np.array(x)).tolist() if x else ())
-        for p in parts:
-            sizes: Counter = Counter()
-            for what, lines in p:
-                k = next(found)
-                sizes["prose" if what == "code" else KINDS[k]] += sum(map(len, lines))
-            kind, most = sizes.most_common(1)[0] if sizes else ("junk", 1)
-            kind = kind if most * 2 > sum(sizes.values()) else "prose"
-            out.append("junk" if kind == "prose" and repeated(p) else kind)
-    return out
+def decided(sizes: list[int], code: int, again: bool, found: list[int]) -> str:
+    """The form of more than half of the characters of segments of the forms ``found``, else prose."""
+    by: Counter = Counter({"prose": code} if code else {})
+    for n, k in zip(sizes, found, strict=True):
+        by[KINDS[k]] += n
+    kind, most = by.most_common(1)[0] if by else ("junk", 1)
+    kind = kind if most * 2 > sum(by.values()) else "prose"
+    return "junk" if kind == "prose" and again else kind
 
 
 def kind_of(text: str | None, model: Mixture) -> str:
-    return kinds_of([text], model)[0]
+    sizes, code, x, _, again = measure(text)
+    return decided(sizes, code, again, model.predict(np.array(x, np.float32).astype(np.float64)).tolist() if x else [])
 
 
 def kinds(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, kind) of every document."""
-    model = train(documents, labels)
+    rows = cut(measured(documents))
+    model = model_of(rows, labels)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds_of(b.column(1).to_pylist(), model), pa.string())], names=["doc_id", "kind"])
-
-    docs = documents.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return docs.mapInArrow(decide, "doc_id bigint, kind string")
+            x = b.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)).astype(np.float64)
+            found, at, out = model.predict(x).tolist() if len(x) else [], 0, []
+            for sizes, code, again in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
+                out.append(decided(sizes, code, again, found[at : at + len(sizes)]))
+                at += len(sizes)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["doc_id", "kind"])
+
+    return rows.select("doc_id", "sizes", "code", "x", "again").mapInArrow(decide, "doc_id bigint, kind string")
 
 
 def found(documents: DataFrame, labels: DataFrame) -> DataFrame:

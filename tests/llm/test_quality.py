@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from spanforge.llm import quality
@@ -61,3 +62,24 @@ def test_long_units_repeated(tables):
     assert [quality.kind_of(t, m) for t in texts] == ["junk", "junk", "junk", "prose", "prose"]
     tail = [quality.statistics([unit + " " + " ".join(["again"] * n)])[quality.FEATURES.index("repeats")] for n in (0, 40)]
     assert tail[1] > tail[0]  # the last words are read too
+
+
+def test_the_mixture_is_fitted_on_all_documents(spark):
+    r = random.Random(3)
+    sentences = [t for k, t in quality.inspected_examples(seed=5, each=20) if k == "prose" and "\n" not in t]
+    rows = [(i, r.choice(sentences) + f" It took {r.randrange(10**6)} minutes.") for i in range(6000)]
+    rows += [(6000 + i, None if i % 2 else " \n") for i in range(10)] + [(None, "no id")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, "list") for i in range(2500)], "doc_id bigint, label string")
+    examples = [(quality.KINDS.index(k), x[i]) for k, t in quality.inspected_examples() for _, _, x, i, _ in [quality.measure(t)] if i >= 0]
+    of = [quality.measure(t) for i, t in rows if t and i is not None]
+    own = np.array([x[i] for _, _, x, i, _ in of if i >= 0], np.float32).astype(np.float64)
+    known, x = np.array([k for k, _ in examples]), np.array([x for _, x in examples])
+    got = quality.train(docs, labels)
+    none = np.full(len(own), -1)
+    want = quality.fit_mixture(lambda f: f(own, none), lambda f: f(own[:2500], none[:2500] + 2), x, known)
+    assert np.allclose(got.mean, np.concatenate([own, x]).mean(0)) and np.allclose(got.scale, np.concatenate([own, x]).std(0) + 1e-3)
+    assert np.allclose(got.weights, want.weights, atol=1e-9) and np.allclose(got.centres, want.centres, atol=1e-6) and np.allclose(got.kinds, want.kinds, atol=1e-6)
+    # every label has a vote: 2,500 for lists
+    votes = quality.totals(spark.createDataFrame([("list", row) for row in own[:2500].tolist()], "kind string, x array<double>"))(quality._votes(got))
+    assert abs(votes.reshape(-1, 4)[:, 1].sum() - 2500) < 1e-6 and abs(votes.sum() - 2500) < 1e-6
